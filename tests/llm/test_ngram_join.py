@@ -1,0 +1,44 @@
+import random
+
+import brute
+import pytest
+
+from rhoscope.llm import ngram_join
+
+
+def corpus():
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("the of and to in was".split()) if rng.random() < 0.5 else f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 120)))) for i in range(150)]
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        rows.append((1000 + i, " ".join(words[: -rng.randrange(1, 12)] if rng.random() < 0.3 else words)))
+    odd = ["a", "a b", "A  B", "a b c", "", None, "the of and " * 30, "the of and " * 31, "q " * 50, "  a", " "]
+    rows += [(2000 + i, t) for i, t in enumerate(odd)]
+    return rows + [(3000 + i, t) for i, (_, t) in enumerate(rows[::7])]
+
+
+@pytest.mark.parametrize(("size", "percent", "frequent"), [(3, 90, 64), (5, 80, 3)])
+def test_components_are_those_of_all_pairs(spark, size, percent, frequent):
+    rows = corpus()
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, tid string, component_id long")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_ngrams(df, size=size, percent=percent, frequent=frequent).collect()}
+    assert got == brute.ngram_components(rows, size, percent)
+
+
+def test_empty_table_null_ids_and_repeated_rows(spark):
+    schema = "doc_id long, text string"
+    assert ngram_join.join_ngrams(spark.createDataFrame([], schema)).count() == 0
+    text = "one two three four five six seven"
+    got = ngram_join.join_ngrams(spark.createDataFrame([(None, text), (5, text), (5, text), (3, None)], schema)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == [(3, 0, 3), (5, 3, 5), (5, 3, 5), (None, 3, 5)]
+
+
+def test_one_of_each_keeps_columns_and_clean_rows(spark):
+    text = " ".join(f"v{i}" for i in range(60))
+    rows = [(4, text, "s"), (2, text + " v60", "s"), (9, "quite another text", "s"), (7, None, "s"), (8, None, "s")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9]
