@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhoscope.llm import chat, decontaminate, embedding_dedup, mixing, ngram_join, secrets, suffix_dedup, toxicity
+from rhoscope.llm import chat, decontaminate, embedding_dedup, lm_score, mixing, ngram_join, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_texts(table(spark, sf_dir, "documents"), toxicity.fold() != 1)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_score": op8_lm_score,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
 }
