@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhoscope.llm import chat, decontaminate, embedding_dedup, lm_score, mixing, ngram_join, secrets, suffix_dedup, toxicity
+from rhoscope.llm import chat, decontaminate, embedding_dedup, lm_score, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=toxicity.fold() != 0)
+    return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", F.col("kept").cast("int").alias("predicted"), "kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_lm_score": op8_lm_score,
     "op9_source_mixing": op9_source_mixing,
