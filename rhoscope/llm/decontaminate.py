@@ -92,10 +92,15 @@ def _chunks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
         yield items
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, max_chars: int = 2_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of every document, n_words, n_hit, items (ids, sorted) and spans of hit words in the text."""
+def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, max_chars: int = 2_000_000, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of every document, n_words, n_hit, items (ids, sorted) and spans of hit words in the text.
+
+    ``prefix`` goes before the names of the last four; of ``keep``, columns of the same names are left out.
+    """
+    own = [f"{prefix}{c}" for c in ("n_words", "n_hit", "items", "spans")]
+    keep = tuple(c for c in keep if c not in (*own, "_hits", "_items"))
     context, columns = df.sparkSession.sparkContext, list(dict.fromkeys([*keep, "text"]))
-    state = df.select(*columns, F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
+    state = df.select(*(f"`{c}`" for c in columns), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
     shape, many = state.schema, 0
     for items in _chunks(benchmark, max_chars):
         machine = automaton(items, window)
@@ -118,10 +123,10 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, ma
                 ids.append(found or [])
                 at = [m.span() for m in WORD.finditer(text)] if len(spans) else []
                 places.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in spans.tolist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(places, span)], names=[*keep, "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(places, span)], names=[*keep, *own])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return state.mapInArrow(finish, f"{kept}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    kinds = ("long", "long", "array<string>", "array<struct<start:int,end:int>>")
+    return state.mapInArrow(finish, ", ".join(f"`{n}` {k}" for n, k in [*((f.name, f.dataType.simpleString()) for f in fields), *zip(own, kinds, strict=True)]))
 
 
 def _scanner(machine):
@@ -139,9 +144,10 @@ def _scanner(machine):
     return work
 
 
-def is_contaminated() -> Column:
+def is_contaminated(prefix: str = "") -> Column:
     """A twentieth of the words, at least, are hit."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    hit = F.col(f"{prefix}n_hit")
+    return (hit > 0) & (20 * hit >= F.col(f"{prefix}n_words"))
 
 
 #: The op7 digest in DuckDB.

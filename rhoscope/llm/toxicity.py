@@ -204,12 +204,15 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: in
     return names, Index(names, [math.log((n + 1) / (d + 1)) + 1 for _, d in terms], examples, base)
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, learn: Column | None = None, **limits) -> DataFrame:
-    """``documents`` with score, predicted (score >= 0.5), terms found, and evidence: nearest examples."""
+def score_toxicity(documents: DataFrame, labels: DataFrame, learn: Column | None = None, prefix: str = "", **limits) -> DataFrame:
+    """``documents`` with score, predicted (score >= 0.5), terms found, and evidence: nearest examples.
+
+    ``prefix`` goes before the names of these columns.
+    """
     names, index = fit(documents, labels, F.lit(True) if learn is None else learn, **limits)
     # As bytes with the class in them: broadcasts are pickled by reference, and executors may lack this package.
     model = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps((machine(names), names, index)))
-    own = {"score", "predicted", "terms", "evidence"}
+    own = [f"{prefix}{c}" for c in ("score", "predicted", "terms", "evidence")]
     kept = [f for f in documents.schema.fields if f.name not in own]
     near_type = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
@@ -230,10 +233,11 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, learn: Column | None
                 evidence.append(known[key][1])
                 terms.append([names[i].strip() for i, _ in key])
             columns = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(evidence, near_type)], names=[*(f.name for f in kept), "score", "predicted", "terms", "evidence"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(evidence, near_type)], names=[*(f.name for f in kept), *own])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return documents.select(*(f"`{f.name}`" for f in kept)).mapInArrow(work, f"{shape}, score double, predicted int, terms array<string>, evidence array<struct<doc_id:string,similarity:double,toxic:int>>")
+    kinds = ("double", "int", "array<string>", "array<struct<doc_id:string,similarity:double,toxic:int>>")
+    shape = ", ".join(f"`{n}` {k}" for n, k in [*((f.name, f.dataType.simpleString()) for f in kept), *zip(own, kinds, strict=True)])
+    return documents.select(*(f"`{f.name}`" for f in kept)).mapInArrow(work, shape)
 
 
 def fold(doc_id: str = "doc_id", n: int = 5) -> Column:
