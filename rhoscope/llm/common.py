@@ -80,7 +80,7 @@ def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most ``most`` bytes together, or one text each."""
     i, n = 0, offsets.size - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
         yield i, j
         i = j
 

@@ -23,6 +23,8 @@ from rhoscope.llm.common import U, pack, runs, settled, texts_of, unpack
 
 #: Keys of a part and bytes of text that are worked on at once.
 PART_KEYS, SLICE_BYTES = 1_500_000, 8_000_000
+#: Bytes that are hashed at once: numpy needs some ten words for each.
+HASHED_BYTES = 1_000_000
 #: Keys keep their highest 48 bits: by chance two of a pair of texts' keys agree once in 10**9 pairs.
 KEY_BITS = 48
 
@@ -37,17 +39,21 @@ def text_classes(documents: DataFrame) -> DataFrame:
     return settled(documents.select("doc_id", text_id(text).alias("tid"), F.octet_length(text).cast("long").alias("n_bytes")))
 
 
-def distinct_texts(documents: DataFrame) -> DataFrame:
-    """(tid, text) without the copies that meet in one Arrow batch; empty texts are left out."""
+def without_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
+    seen: dict[bytes, int] = {}
+    for i, t in enumerate(batch.column("tid").to_pylist()):
+        seen.setdefault(t, i)
+    return batch if len(seen) == batch.num_rows else batch.take(pa.array(list(seen.values()), pa.int32()))
+
 
-    def work(batches):
-        for batch in batches:
-            seen: dict[bytes, int] = {}
-            for i, t in enumerate(batch.column("tid").to_pylist()):
-                seen.setdefault(t, i)
-            yield batch if len(seen) == batch.num_rows else batch.take(pa.array(list(seen.values()), pa.int32()))
+def named_texts(documents: DataFrame) -> DataFrame:
+    """(tid, text) of every text that isn't empty."""
+    return documents.filter("text is not null and text <> ''").select(text_id(F.col("text")).alias("tid"), "text")
 
-    return documents.filter("text is not null and text <> ''").select(text_id(F.col("text")).alias("tid"), "text").mapInArrow(work, "tid binary, text string")
+
+def distinct_texts(documents: DataFrame) -> DataFrame:
+    """named_texts without the copies that meet in one Arrow batch."""
+    return named_texts(documents).mapInArrow(lambda batches: map(without_copies, batches), "tid binary, text string")
 
 
 def spread(keys: np.ndarray, docs: np.ndarray, parts: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -68,10 +74,10 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
 
     def emit(batches):
         task, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in map(without_copies, batches):
             offsets, data = texts_of(batch.column("text"))
             for i, j in runs(offsets, SLICE_BYTES):
-                lists = keys_of(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
+                lists = [x for a, b in runs(offsets[i : j + 1], HASHED_BYTES) for x in keys_of(offsets[i + a : i + b + 1] - offsets[i + a], data[offsets[i + a] : offsets[i + b]])]
                 sizes = np.array([len(x) for x in lists], np.int64)
                 keys = np.concatenate(lists) >> U(64 - KEY_BITS) if sizes.sum() else np.zeros(0, U)
                 rows = [(p, k, d) for p, k, d in spread(keys, np.repeat(np.arange(j - i, dtype=np.uint32), sizes), parts)]
@@ -132,7 +138,7 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
         columns = zip(*rows, strict=True)
         return pa.table([pa.array(tids, pa.binary()), *(pa.array(c, t) for c, (_, t, _) in zip(columns, fields, strict=True))], names=["tid", *(f[0] for f in fields)])
 
-    emitted = distinct_texts(documents).mapInArrow(emit, "part int, block long, keys binary, docs binary, sizes binary")
+    emitted = named_texts(documents).mapInArrow(emit, "part int, block long, keys binary, docs binary, sizes binary")
     counted = emitted.groupBy("part").applyInArrow(count, "block long, keys binary, docs binary, counts binary, sizes binary")
     return counted.groupBy("block").applyInArrow(gather, ", ".join(["tid binary", *(f"{n} {k}" for n, _, k in fields)]))
 
