@@ -6,8 +6,10 @@ shingles index a text singly. Frequent ones (in more than ``frequent`` texts) fa
 index it in pairs of one group: of 1 + m shared members either one is rare or two fall into one group.
 m follows the size of the set (a power of two near n / 16), so pairs stay in proportion to the prefix; a text
 near a border of sizes is indexed for both. A shingle of one text only takes its place in the prefix but
-indexes nothing. Texts with one index entry in common are candidates unless their sizes, or the places of the
-common shingle, rule the threshold out; candidates are verified on their shared shingles.
+indexes nothing. Texts with one index entry in common are candidates unless their sizes, the places of the
+common shingle, or their parities rule the threshold out; candidates are verified on their shared shingles.
+Parities are 256 bits of a set, each flipped once per shingle that falls on it: two sets differ in at least as
+many shingles as bits.
 
 Only components are wanted, so a group of thousands of copies needs no pairs among all of them. First every
 index entry's most central text is verified against its other texts; most entries then lie in one component.
@@ -70,9 +72,19 @@ def index_entries(n: int, keys: np.ndarray, counts: np.ndarray, percent: int, fr
     return np.concatenate(entries), np.concatenate(places)
 
 
+PARITIES = [f"p{i}" for i in range(4)]
+
+
+def parities(keys: np.ndarray) -> list[int]:
+    """256 bits in four signed numbers: is the number of keys that fall on a bit odd?"""
+    odd = np.bincount((mix(keys) >> U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _can_link(percent: int) -> Column:
-    """From sizes n, numbers e of shared shingles and the common shingle's places r among them."""
-    most = F.least("r", "r2") + F.least(F.col("e") - F.col("r"), F.col("e2") - F.col("r2"))
+    """From sizes n, numbers e of shared shingles, their parities, and the common shingle's places r among them."""
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_2"))) for p in PARITIES), F.lit(0))
+    most = F.least(F.least("r", "r2") + F.least(F.col("e") - F.col("r"), F.col("e2") - F.col("r2")), F.floor((F.col("e") + F.col("e2") - differ) / 2))
     return (100 * most >= percent * (F.col("n") + F.col("n2") - most)) & (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))
 
 
@@ -106,30 +118,35 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
         return [shingles(words[first[i] : first[i + 1]], size) for i in range(offsets.size - 1)]
 
     def finish(n, keys, counts):
-        entries, places = index_entries(n, keys, counts, percent, frequent) if keys.size else (np.zeros(0, U), np.zeros(0, np.int64))
-        some = entries.size > 0
-        return n, keys.size, np.sort(keys).tobytes() if some else None, entries.view(np.int64) if some else None, places.astype(np.int32) if some else None
+        entries, places = index_entries(n, keys, counts, percent, frequent) if keys.size else (np.zeros(0, U), None)
+        if not entries.size:
+            return n, keys.size, None, None, None, None
+        return n, keys.size, np.sort(keys).tobytes(), parities(keys), entries.view(np.int64), places.astype(np.int32)
 
-    fields = [("n", pa.int64(), "long"), ("e", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("entries", pa.list_(pa.int64()), "array<long>"), ("places", pa.list_(pa.int32()), "array<int>")]
-    once = lambda df: df.groupBy("tid").agg(*(F.first(c).alias(c) for c in df.columns if c != "tid"))
+    fields = [("n", pa.int64(), "long"), ("e", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("bits", pa.list_(pa.int64()), "array<long>"), ("entries", pa.list_(pa.int64()), "array<long>"), ("places", pa.list_(pa.int32()), "array<int>")]
     found = settled(shared_keys(documents, total_bytes // 6 + 1, keys_of, finish, fields))
-    release(documents.sparkSession)
+    spark = documents.sparkSession
+    release(spark)
     sizes = found.groupBy("tid").agg(F.max("n").alias("n"))
-    exploded = once(found.filter("entries is not null").select("tid", "n", "e", "entries", "places")).select("tid", "n", "e", F.explode(F.arrays_zip("entries", "places")).alias("z")).select(F.col("z.entries").alias("entry"), "tid", "n", "e", F.col("z.places").alias("r"))
-    several = exploded.groupBy("entry").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("entry").alias("_entry"))
-    index = settled(exploded.join(several, F.col("entry") == F.col("_entry")).drop("_entry"))
+    # A text may come from several blocks; its entries are the same each time.
+    about = ["n", "e", "r", *PARITIES]
+    entries = found.filter("entries is not null").select("tid", "n", "e", *(F.col("bits")[i].alias(p) for i, p in enumerate(PARITIES)), F.explode(F.arrays_zip("entries", "places")).alias("z"))
+    exploded = entries.select(F.col("z.entries").alias("entry"), "tid", "n", "e", F.col("z.places").alias("r"), *PARITIES)
+    several = exploded.groupBy("entry").agg(F.min("tid").alias("_low"), F.max("tid").alias("_high")).filter("_low <> _high").select(F.col("entry").alias("_entry"))
+    index = settled(exploded.join(several, F.col("entry") == F.col("_entry")).drop("_entry").dropDuplicates(["entry", "tid"]))
     used = index.select(F.col("tid").alias("_tid")).distinct()
-    sets = settled(once(found.filter("keys is not null").select("tid", "n", "keys")).join(used, F.col("tid") == F.col("_tid")).drop("_tid"))
+    sets = settled(found.filter("keys is not null").select("tid", "n", "keys").join(used, F.col("tid") == F.col("_tid"), "left_semi").dropDuplicates(["tid"]))
 
-    central = index.groupBy("entry").agg(F.max_by(F.struct("tid", "n", "e", "r"), F.struct(F.col("e") / F.col("n"), "n", "tid")).alias("c"))
-    stars = index.join(central.select(F.col("entry").alias("_entry"), F.col("c.tid").alias("tid2"), F.col("c.n").alias("n2"), F.col("c.e").alias("e2"), F.col("c.r").alias("r2")), (F.col("entry") == F.col("_entry")) & (F.col("tid") != F.col("tid2")) & _can_link(percent))
+    second = lambda c: F.col(c).alias({"entry": "entry2", "tid": "tid2", **{p: f"{p}_2" for p in PARITIES}}.get(c, f"{c}2"))
+    central = index.groupBy("entry").agg(F.max_by(F.struct("entry", "tid", *about), F.struct(F.col("e") / F.col("n"), "n", "tid")).alias("c")).select("c.*").select(*map(second, ("entry", "tid", *about)))
+    stars = index.join(central, (F.col("entry") == F.col("entry2")) & (F.col("tid") != F.col("tid2")) & _can_link(percent))
     links = settled(_verified(settled(stars.select(*_ordered("tid", "tid2")).distinct()), sets, percent))
     found_so_far = settled(components(links))
 
-    placed = index.join(found_so_far, F.col("tid") == F.col("node"), "left").select("entry", "tid", "n", "e", "r", F.coalesce("component", "tid").alias("component"))
+    placed = index.join(found_so_far, F.col("tid") == F.col("node"), "left").select("entry", "tid", *about, F.coalesce("component", "tid").alias("component"))
     mixed = placed.groupBy("entry", "component").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select(F.col("entry").alias("_entry"), "main")
     open_ = settled(placed.join(mixed, F.col("entry") == F.col("_entry")).drop("_entry"))
-    others = open_.select(F.col("entry").alias("entry2"), F.col("tid").alias("tid2"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("r").alias("r2"), F.col("component").alias("component2"))
+    others = open_.select(*map(second, ("entry", "tid", *about, "component")))
     rest = open_.filter("component <> main").join(others, (F.col("entry") == F.col("entry2")) & (F.col("component") != F.col("component2")) & _can_link(percent))
     more = settled(_verified(settled(rest.select(*_ordered("tid", "tid2")).distinct()), sets, percent))
     joined = components(links.unionAll(more)) if more.take(1) else found_so_far
