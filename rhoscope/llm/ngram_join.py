@@ -96,7 +96,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a, b, m, n, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "m", "n", "x", "y"))
             keep = []
             for i in range(batch.num_rows):
-                common = np.intersect1d(np.frombuffer(x[i], U), np.frombuffer(y[i], U), assume_unique=True).size
+                common = np.intersect1d(wide(x[i]), wide(y[i]), assume_unique=True).size
                 if 100 * common >= percent * (m[i] + n[i] - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()), pa.array([b[i] for i in keep], pa.binary())], names=["a", "b"])
@@ -106,6 +106,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(work, "a binary, b binary")
 
 
+def narrow(keys: np.ndarray) -> bytes:
+    """48-bit keys in six bytes each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def wide(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -121,7 +132,7 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
         entries, places = index_entries(n, keys, counts, percent, frequent) if keys.size else (np.zeros(0, U), None)
         if not entries.size:
             return n, keys.size, None, None, None, None
-        return n, keys.size, np.sort(keys).tobytes(), parities(keys), entries.view(np.int64), places.astype(np.int32)
+        return n, keys.size, narrow(np.sort(keys)), parities(keys), entries.view(np.int64), places.astype(np.int32)
 
     fields = [("n", pa.int64(), "long"), ("e", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("bits", pa.list_(pa.int64()), "array<long>"), ("entries", pa.list_(pa.int64()), "array<long>"), ("places", pa.list_(pa.int32()), "array<int>")]
     found = settled(shared_keys(documents, total_bytes // 6 + 1, keys_of, finish, fields))
@@ -136,12 +147,14 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
     index = settled(exploded.join(several, F.col("entry") == F.col("_entry")).drop("_entry").dropDuplicates(["entry", "tid"]))
     used = index.select(F.col("tid").alias("_tid")).distinct()
     sets = settled(found.filter("keys is not null").select("tid", "n", "keys").join(used, F.col("tid") == F.col("_tid"), "left_semi").dropDuplicates(["tid"]))
+    release(spark)
 
     second = lambda c: F.col(c).alias({"entry": "entry2", "tid": "tid2", **{p: f"{p}_2" for p in PARITIES}}.get(c, f"{c}2"))
     central = index.groupBy("entry").agg(F.max_by(F.struct("entry", "tid", *about), F.struct(F.col("e") / F.col("n"), "n", "tid")).alias("c")).select("c.*").select(*map(second, ("entry", "tid", *about)))
     stars = index.join(central, (F.col("entry") == F.col("entry2")) & (F.col("tid") != F.col("tid2")) & _can_link(percent))
     links = settled(_verified(settled(stars.select(*_ordered("tid", "tid2")).distinct()), sets, percent))
     found_so_far = settled(components(links))
+    release(spark)
 
     placed = index.join(found_so_far, F.col("tid") == F.col("node"), "left").select("entry", "tid", *about, F.coalesce("component", "tid").alias("component"))
     mixed = placed.groupBy("entry", "component").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select(F.col("entry").alias("_entry"), "main")
@@ -149,6 +162,7 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
     others = open_.select(*map(second, ("entry", "tid", *about, "component")))
     rest = open_.filter("component <> main").join(others, (F.col("entry") == F.col("entry2")) & (F.col("component") != F.col("component2")) & _can_link(percent))
     more = settled(_verified(settled(rest.select(*_ordered("tid", "tid2")).distinct()), sets, percent))
+    release(spark)
     joined = components(links.unionAll(more)) if more.take(1) else found_so_far
     return sizes, settled(joined).select(F.col("node").alias("tid"), "component")
 
