@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -131,6 +132,15 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel())
 
 
+def trim() -> None:
+    """Give freed memory back: workers are used again, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Make sure there is a checkpoint folder; one that the cluster names is never replaced."""
     context = spark.sparkContext

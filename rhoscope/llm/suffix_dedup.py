@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import BYTE_VALUES, U, mix, pack, prefix_hashes, release, runs, settled, span_hashes, texts_of, unpack
+from rhoscope.llm.common import BYTE_VALUES, U, mix, pack, prefix_hashes, release, runs, settled, span_hashes, texts_of, trim, unpack
 from rhoscope.llm.shared import KEY_BITS, distinct_texts, planes, shared_keys, spread, text_classes, unplanes
 
 GRAM = 16
-PART_BYTES = 6_000_000
+PART_BYTES = 4_000_000
 SLICE_BYTES = 2_000_000
 LAST = (1 << 64) - 1
 
@@ -65,47 +65,67 @@ def segments(starts: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, np.r_[first[1:], starts.size]
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``text`` (bytes, 0 parts strings and ends it) in the order of their first ``depth`` bytes.
+def chunks(text: np.ndarray, depth: int) -> tuple[np.ndarray, int, int]:
+    """For every place, as many characters from there on as fit one number, which compares as they do.
 
-    Also gives eight bytes as one number for every place, for comparing.
+    Also the number of characters, and the bits of each: as few as the text's own characters need.
     """
+    present = np.bincount(text, minlength=256) > 0
+    codes = np.cumsum(present) - present[0]  # 0 stays 0
+    bits = max(1, int(codes[-1]).bit_length())
+    many = 64 // bits
+    words = np.concatenate([codes.astype(U)[text], np.zeros(depth + 2 * many, U)])
+    # Powers of two first; those that ``many`` is the sum of are joined, the largest first.
+    held, size = [], 1
+    while 2 * size <= many:
+        if many & size:
+            held.append((size, words))
+        words = (words[:-size] << U(bits * size)) | words[size:]
+        size *= 2
+    for add, tail in reversed(held):
+        tail = tail[size:]
+        n = min(words.size, tail.size)
+        words = (words[:n] << U(bits * add)) | tail[:n]
+        size += add
+    return words, many, bits
+
+
+def suffix_array(text: np.ndarray, depth: int, packed: tuple[np.ndarray, int, int] | None = None) -> np.ndarray:
+    """Places of ``text`` (bytes, 0 parts strings and ends it) in the order of their first ``depth`` bytes."""
     n = text.size
     steps = np.diff(text.astype(np.int16))
     differs = np.flatnonzero(steps)
     smaller = np.ones(n, bool)  # than its successor; the last suffix has none and is sorted directly
     if differs.size:
         smaller[: differs[-1] + 1] = np.repeat(steps[differs] > 0, np.diff(differs, prepend=-1))
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    words = padded.astype(U)
-    for shift in (1, 2, 4):
-        words = (words[:-shift] << U(8 * shift)) | words[shift:]
-    # First stage: equal starts are told apart by the next eight bytes, until depth.
-    direct = np.flatnonzero(smaller & (text > 0))
-    direct = direct[np.argsort(words[direct], kind="stable")]
-    rank = np.cumsum(np.r_[True, words[direct[1:]] != words[direct[:-1]]]) if direct.size else np.zeros(0, np.int64)
-    for offset in range(8, depth, 8):
-        size = np.bincount(rank)
-        tied = np.flatnonzero(size[rank] > 1)
+    words, many, _ = packed or chunks(text, depth)
+    # First stage: equal starts are told apart by the next characters, until depth.
+    direct = np.flatnonzero(smaller & (text > 0)).astype(np.int32)
+    key = words[direct]
+    order = np.argsort(key)
+    direct, key = direct[order], key[order]
+    opened = np.r_[True, key[1:] != key[:-1]] if direct.size else np.zeros(0, bool)
+    for offset in range(many, depth, many):
+        # Places that share their group with a neighbour.
+        tied = np.flatnonzero(~(opened & np.r_[opened[1:], True]))
         if not tied.size:
             break
-        at, group = direct[tied], rank[tied]
+        at, group = direct[tied], np.cumsum(opened[tied]).astype(U)
         key = words[np.minimum(at + offset, n)]
-        order = np.lexsort((key, group))
-        at, key, group = at[order], key[order], group[order]
-        direct[tied] = at
-        new = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
-        # New groups start within the old ones, so numbers only have to rise along ``direct``.
-        opened = np.r_[True, rank[1:] != rank[:-1]]
-        opened[tied] = new
-        rank = np.cumsum(opened)
+        order = np.argsort(key)
+        rank = np.empty(tied.size, U)
+        rank[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
+        joint = (group << U(32)) | rank
+        order = np.argsort(joint)
+        direct[tied], joint = at[order], joint[order]
+        opened[tied] = np.r_[True, joint[1:] != joint[:-1]]
     heads = np.searchsorted(text[direct], np.arange(257))
     # Second stage: a bucket's larger suffixes come first, in the order in which their successors were met.
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for c in range(256):
         if c:
-            bucket, front = [], np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
+            bucket, front = [], np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int32)
             while front.size:
                 bucket.append(front)
                 front = front[front > 0] - 1
@@ -114,7 +134,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             placed = np.concatenate(bucket)
             out.append(placed)
         else:
-            placed = np.flatnonzero(text == 0)
+            placed = np.flatnonzero(text == 0).astype(np.int32)
         waiting[c] = []
         before = placed[placed > 0] - 1
         chars = text[before]
@@ -125,20 +145,21 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         edges = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1], True]) if chars.size else np.zeros(0, np.int64)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             waiting[chars[a]].append(before[a:b])
-    return np.concatenate(out) if out else np.zeros(0, np.int64), words
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
-def common_prefixes(order: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(order: np.ndarray, packed: tuple[np.ndarray, int, int], most: int) -> np.ndarray:
     """Length of the common prefix of each suffix and the one before it (0 for the first), at most ``most``."""
-    out = np.zeros(order.size, np.int64)
-    alike = np.arange(1, order.size)
-    for offset in range(0, most, 8):
+    words, many, bits = packed
+    out = np.zeros(order.size, np.int32)
+    alike = np.arange(1, order.size, dtype=np.int32)
+    for offset in range(0, most, many):
         x = words[order[alike] + offset] ^ words[order[alike - 1] + offset]
         same = x == 0
-        out[alike[same]] += 8
+        out[alike[same]] += many
         left, x = alike[~same], x[~same]
-        for bits in range(8, 64, 8):
-            out[left] += x < (U(1) << U(64 - bits))
+        for k in range(1, many):
+            out[left] += x < (U(1) << U(bits * (many - k)))
         alike = alike[same]
     return np.minimum(out, most)
 
@@ -157,11 +178,12 @@ def smallest_owners(contents: bytes, lengths: np.ndarray, owners: np.ndarray, wi
     windows = lengths - width + 1
     first = np.r_[0, np.cumsum(windows)]
     places = np.repeat(begin - first[:-1], windows) + np.arange(first[-1])
-    number = np.full(text.size, -1, np.int64)
-    number[places] = np.arange(places.size)
-    order, words = suffix_array(text, width)
+    number = np.full(text.size, -1, np.int32)
+    number[places] = np.arange(places.size, dtype=np.int32)
+    packed = chunks(text, width)
+    order = suffix_array(text, width, packed)
     order = order[number[order] >= 0]
-    group = np.cumsum(common_prefixes(order, words, width) < width) - 1
+    group = np.cumsum(common_prefixes(order, packed, width) < width) - 1
     window = number[order]
     owner = np.repeat(owners, windows)[window]
     least = np.full(group[-1] + 1 if group.size else 0, LAST, U)
@@ -179,6 +201,15 @@ def covered(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[np.r_[first[1:] - 1, starts.size - 1]] + width
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Text and places travel in zstd, which halves what Spark's own codec leaves of them."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def expanded(packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
 def _keys(width: int):
     def keys_of(offsets, data):
         starts, low, _ = minima(data, offsets, width)
@@ -225,6 +256,8 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
                     [pa.array([*columns[0], block % parts], pa.int32()), pa.array([block] * (len(rows) + 1), pa.int64()), *(pa.array([*c, None], pa.binary()) for c in columns[1:]), pa.array([None] * len(rows) + [tids], pa.binary())],
                     names=["part", "block", "lows", "lengths", "contents", "content", "doc", "place", "tids"],
                 )
+                del rows, columns
+                trim()
 
     def match(table: pa.Table) -> pa.Table:
         blocks, lows, lengths, contents, content, doc, place, tids = (table.column(c).to_pylist() for c in ("block", "lows", "lengths", "contents", "content", "doc", "place", "tids"))
@@ -232,6 +265,7 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
         own = [i for i, t in enumerate(tids) if t is None]
         if own:
             out += _matched([blocks[i] for i in own], [(lows[i], lengths[i], contents[i], content[i], doc[i], place[i]) for i in own], width)
+            trim()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "spans", "tids"])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -295,12 +329,13 @@ def _dealt(raw, offsets, keys, often, lows, width, parts):
         order = np.lexsort((begin[at], rank[owners]))
         # The documents' numbers in the slice follow their smallest doc_ids.
         lows_and_docs = len(docs).to_bytes(4, "little") + pack(lows[docs][by_low]) + planes(docs[by_low])
-        rows.append((part, lows_and_docs, planes(lengths), raw[bytes_at].tobytes(), planes(content[order]), planes(rank[owners][order]), planes((begin[at] - offsets[owner[at]])[order])))
+        rows.append((part, *map(squeezed, (lows_and_docs, planes(lengths), raw[bytes_at].tobytes(), planes(content[order]), planes(rank[owners][order]), planes((begin[at] - offsets[owner[at]])[order])))))
     return rows
 
 
 def _matched(blocks, rows, width):
     """(block, spans, None): for each row the spans of its documents that an earlier document's segment holds."""
+    rows = [tuple(map(expanded, r)) for r in rows]
     lengths = [unplanes(r[1]).astype(np.int64) for r in rows]
     contents = b"".join(r[2] for r in rows)
     length = np.concatenate(lengths)
