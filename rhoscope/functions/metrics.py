@@ -65,7 +65,9 @@ class ScalarMetric(Metric):
         return -a
 
     def join(self, a, b):
-        return F.when(F.isnan(a), b).when(F.isnan(b), a).otherwise(F.greatest(a, b))
+        # NaN is Spark's largest value, so least passes over it; each side stands here once, or nested
+        # formulas would grow exponentially.
+        return -F.least(-a, -b)
 
     def fold_sql(self, kind, name):
         # NaN counts as the fold of nothing.
@@ -107,7 +109,8 @@ class HybridMetric(Metric):
         return self.unreachable()
 
     def neg(self, a):
-        return F.when(a["rank"] == 0, a).otherwise(F.struct(a["rank"].alias("rank"), a["neg_hops"].alias("neg_hops"), (-a["dist"]).alias("dist")))
+        flipped = lambda v: F.struct(v["rank"].alias("rank"), v["neg_hops"].alias("neg_hops"), F.when(v["rank"] == 0, v["dist"]).otherwise(-v["dist"]).alias("dist"))
+        return F.transform(F.array(a), flipped)[0]
 
     def flatten(self, a):
         kind = F.when(a["rank"] == 2, "robustness").when(a["rank"] == 1, "state_distance").otherwise("unreachable")

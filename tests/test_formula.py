@@ -233,3 +233,35 @@ def test_custom_operator_and_batches(spark):
             yield b.assign(x=b.x * 2)
 
     assert [r.x for r in traces.map_states(doubled)] == [2.0, 10.0]
+
+
+def test_a_callers_metric(spark):
+    from pyspark.sql import functions as F
+
+    from rhoscope.functions.metrics import Metric, register_metric
+
+    class Truth(Metric):
+        """false < true."""
+
+        name = "truth"
+
+        def top(self):
+            return F.lit(True)
+
+        def bottom(self):
+            return F.lit(False)
+
+        def neg(self, a):
+            return ~a
+
+        def flatten(self, a):
+            return [a.alias("holds")]
+
+    register_metric(Truth())
+    small = CustomExpression("small", lambda value: value("x") < 3.0, metric="truth")
+    traces = TraceSet.from_samples(spark, [(float(i), {"x": float(v)}) for i, v in enumerate([1, 5, 2, 1])])
+    holds = lambda f: [r.holds for r in monitor(traces, f).orderBy("time").collect()]
+    assert holds(always(small)) == [False, False, True, True]
+    assert holds(eventually(small, 1, 1)) == [False, True, True, False]
+    assert holds(until(small, Not(small))) == [False, False, False, False]
+    assert holds(Or(next_(small), Not(small))) == [False, True, True, False]
