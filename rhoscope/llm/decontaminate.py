@@ -6,8 +6,9 @@ space on both sides. A document is scanned once; matches are mapped to word numb
 documents with matches only, to code points of the original text.
 
 No rows are shuffled: the automaton goes to the executors. Its size is checked: benchmark texts are read in
-chunks of at most ``max_chars`` characters, and with more than one chunk the documents pass one automaton
-after the other, hits carried along and written to the shared folder between, so memory stays bounded.
+chunks of at most ``max_chars`` characters (windows start at every word, so a character makes some 15 states).
+With more than one chunk the documents pass one automaton after the other, hits carried along and written to
+the shared folder between, so memory stays bounded.
 
 Cases: a null text or one without words has no words, no hits and isn't contaminated; items without words
 have no windows; items with one id count once; a null item_id counts as the empty string; repeated documents
@@ -92,7 +93,7 @@ def _chunks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
         yield items
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, max_chars: int = 2_000_000, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, max_chars: int = 150_000, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """Columns ``keep`` of every document, n_words, n_hit, items (ids, sorted) and spans of hit words in the text.
 
     ``prefix`` goes before the names of the last four; of ``keep``, columns of the same names are left out.
@@ -101,14 +102,15 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, ma
     keep = tuple(c for c in keep if c not in (*own, "_hits", "_items"))
     context, columns = df.sparkSession.sparkContext, list(dict.fromkeys([*keep, "text"]))
     state = df.select(*(f"`{c}`" for c in columns), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
-    shape, many = state.schema, 0
+    shape = state.schema
+    scans = []
     for items in _chunks(benchmark, max_chars):
         machine = automaton(items, window)
         if machine is None:
             continue
-        if many:
-            state = settled(state)
-        state, many = state.mapInArrow(_scanner(context.broadcast(machine)), shape), many + 1
+        if scans:  # one automaton at a time
+            state = settled(state.mapInArrow(scans.pop(), shape))
+        scans.append(_scanner(context.broadcast(machine)))
 
     fields = [f for f in shape.fields if f.name in keep]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -125,8 +127,10 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, ma
                 places.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in spans.tolist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(places, span)], names=[*keep, *own])
 
+    # The last scan and the end are one step, so that one worker does both.
+    whole = (lambda batches, scan=scans[0]: finish(scan(batches))) if scans else finish
     kinds = ("long", "long", "array<string>", "array<struct<start:int,end:int>>")
-    return state.mapInArrow(finish, ", ".join(f"`{n}` {k}" for n, k in [*((f.name, f.dataType.simpleString()) for f in fields), *zip(own, kinds, strict=True)]))
+    return state.mapInArrow(whole, ", ".join(f"`{n}` {k}" for n, k in [*((f.name, f.dataType.simpleString()) for f in fields), *zip(own, kinds, strict=True)]))
 
 
 def _scanner(machine):

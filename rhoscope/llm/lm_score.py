@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import BASE, U, mix, pack, release, runs, settled, texts_of, unpack, word_hashes
+from rhoscope.llm.common import BASE, U, mix, pack, release, runs, settled, texts_of, trim, unpack, word_hashes
 from rhoscope.llm.shared import HASHED_BYTES, planes, unplanes
 
 BLOCK_BYTES, PART_KEYS = 8_000_000, 1_500_000
@@ -116,6 +116,7 @@ def score_texts(documents: DataFrame, learn: Column, mass: float = 400.0) -> Dat
         block = table.column("block")[0].as_py()
         tokens = Tokens(table.column("text"))
         learned = table.column("learned").to_numpy()
+        trim()
         out = []
         for kind, (keys, counts) in enumerate(zip(tokens.keys(), tokens.counts(learned), strict=True)):
             edges = cuts(keys, BITS[kind], parts)

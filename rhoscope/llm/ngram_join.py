@@ -121,7 +121,7 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int, frequent: int, **sizes_of_work: int) -> tuple[DataFrame, DataFrame]:
     """(tid, n) of every text with words, and (tid, component) of those that link with another text."""
 
     def keys_of(offsets, data):
@@ -135,7 +135,7 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
         return n, keys.size, narrow(np.sort(keys)), parities(keys), entries.view(np.int64), places.astype(np.int32)
 
     fields = [("n", pa.int64(), "long"), ("e", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("bits", pa.list_(pa.int64()), "array<long>"), ("entries", pa.list_(pa.int64()), "array<long>"), ("places", pa.list_(pa.int32()), "array<int>")]
-    found = settled(shared_keys(documents, total_bytes // 6 + 1, keys_of, finish, fields))
+    found = settled(shared_keys(documents, total_bytes // 6 + 1, keys_of, finish, fields, **sizes_of_work))
     spark = documents.sparkSession
     release(spark)
     sizes = found.groupBy("tid").agg(F.max("n").alias("n"))
@@ -167,11 +167,14 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
     return sizes, settled(joined).select(F.col("node").alias("tid"), "component")
 
 
-def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, frequent: int = 64) -> DataFrame:
-    """(doc_id, tid, n_shingles, component_id) of every row; links are Jaccard similarities of ``percent`` or more."""
+def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, frequent: int = 64, **sizes_of_work: int) -> DataFrame:
+    """(doc_id, tid, n_shingles, component_id) of every row; links are Jaccard similarities of ``percent`` or more.
+
+    ``sizes_of_work``: slice_bytes and part_keys of shared_keys, for executors with more memory.
+    """
     classes = text_classes(documents.select("doc_id", "text"))
     total = classes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    sizes, linked = linked_texts(documents.select("text"), total, size, percent, frequent)
+    sizes, linked = linked_texts(documents.select("text"), total, size, percent, frequent, **sizes_of_work)
     lowest = classes.groupBy("tid").agg(F.min("doc_id").alias("low"))
     texts = lowest.join(sizes.withColumnRenamed("tid", "_t"), F.col("tid") == F.col("_t"), "left").drop("_t").join(linked.withColumnRenamed("tid", "_t"), F.col("tid") == F.col("_t"), "left").drop("_t")
     texts = settled(texts.select("tid", "low", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "tid").alias("component")))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import U, pack, runs, settled, texts_of, unpack
+from rhoscope.llm.common import U, pack, runs, settled, texts_of, trim, unpack
 
 #: Keys of a part and bytes of text that are worked on at once.
 PART_KEYS, SLICE_BYTES = 1_500_000, 8_000_000
@@ -64,19 +64,22 @@ def spread(keys: np.ndarray, docs: np.ndarray, parts: int) -> list[tuple[int, np
     return [(p, keys[a:b], docs[a:b]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
 
 
-def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], finish: Callable[[int, np.ndarray, np.ndarray], tuple], fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], finish: Callable[[int, np.ndarray, np.ndarray], tuple], fields: list[tuple[str, pa.DataType, str]], slice_bytes: int = SLICE_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """Per text: tid, and what ``finish(n_keys, shared keys, their counts)`` makes of its keys.
 
+    A row of the exchange holds the keys of one slice of text in one part. Both sizes should follow the
+    executors' memory: with s slices and p parts there are s * p rows at most.
+
     ``keys_of(offsets, bytes)`` gives each text's distinct 64-bit keys. Shared keys come in order of count,
     then key. A text whose copies met in no batch appears more than once, with the same values.
     """
-    parts = max(1, -(-total_keys // PART_KEYS))
+    parts = max(1, -(-total_keys // part_keys))
 
     def emit(batches):
         task, n = TaskContext.get().partitionId(), 0
         for batch in map(without_copies, batches):
             offsets, data = texts_of(batch.column("text"))
-            for i, j in runs(offsets, SLICE_BYTES):
+            for i, j in runs(offsets, slice_bytes):
                 lists = [x for a, b in runs(offsets[i : j + 1], HASHED_BYTES) for x in keys_of(offsets[i + a : i + b + 1] - offsets[i + a], data[offsets[i + a] : offsets[i + b]])]
                 sizes = np.array([len(x) for x in lists], np.int64)
                 keys = np.concatenate(lists) >> U(64 - KEY_BITS) if sizes.sum() else np.zeros(0, U)
@@ -94,6 +97,8 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
                     ],
                     names=["part", "block", "keys", "docs", "sizes"],
                 )
+                del lists, keys, rows
+                trim()
 
     def count(table: pa.Table) -> pa.Table:
         blocks, keys, docs, sizes = (table.column(c).to_pylist() for c in ("block", "keys", "docs", "sizes"))
@@ -119,6 +124,8 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
                 if a < z:
                     at = back[a:z]
                     out.append((blocks[own[i]], pack(every[at]), planes(doc[at]), planes(often[at]), None))
+            del every, row, order, often, doc, back
+            trim()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "keys", "docs", "counts", "sizes"])
 
     def gather(table: pa.Table) -> pa.Table:

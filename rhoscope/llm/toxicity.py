@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import settled, shingles, texts_of, word_hashes
+from rhoscope.llm.common import settled, shingles, texts_of, trim, word_hashes
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = range(4, 9)
@@ -161,21 +162,26 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: in
         return [], None
 
     def counted(batches):
-        seen: Counter = Counter()
-        bad: Counter = Counter()
-        mark: dict[str, int] = {}
+        held: dict[str, list[int]] = {}
         for batch in batches:
             for doc, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-                sign = hash((doc, 0x5EED)) & 0x7FFFFFFFFFFFFFFF
+                sign = zlib.crc32(str(doc).encode()) << 31 | zlib.crc32(f"{doc}.".encode()) >> 1
                 for p in pieces(text):
-                    seen[p] += 1
-                    bad[p] += y
-                    mark[p] = mark.get(p, 0) ^ sign
-        # A piece that is in no toxic document here may be in one elsewhere; all go on.
-        keys = list(seen)
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[k] for k in part], pa.int64()), pa.array([bad[k] for k in part], pa.int64()), pa.array([mark[k] for k in part], pa.int64())], names=["term", "n", "bad", "docs"])
+                    at = held.get(p)
+                    if at is None:
+                        held[p] = [1, y, sign]
+                    else:
+                        at[0] += 1
+                        at[1] += y
+                        at[2] ^= sign
+                if len(held) > 100_000:  # sums go on in Spark
+                    yield counts(held)
+                    held = {}
+        yield counts(held)
+        trim()
+
+    def counts(held):
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(3))], names=["term", "n", "bad", "docs"])
 
     p = toxic / n
     terms: list[tuple[str, int]] = []
@@ -220,12 +226,13 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, learn: Column | None
         reader, names, index = pickle.loads(model.value)
         known: dict[tuple, tuple] = {}
         for batch in batches:
+            trim()
             scores, terms, evidence = [], [], []
             for text in batch.column("text").to_pylist():
                 tf = Counter(i for _, i in reader.iter(normal(text))) if names else {}
                 key = tuple(sorted(tf.items()))
                 if key not in known:
-                    if len(known) >= 20_000:
+                    if len(known) >= 2_000:
                         known.clear()
                     score, near = index.score(dict(key)) if index else (0.0, [])
                     known[key] = score, [{"doc_id": str(index.ids[i]), "similarity": s, "toxic": int(index.toxic[i])} for s, i in near]

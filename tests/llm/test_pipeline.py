@@ -21,7 +21,7 @@ def folder(spark, tmp_path_factory):
     docs, labels = [], []
     for i in range(300):
         bad = i % 5 == 0
-        docs.append((i, text(60) + (" quxhateful zyxvile" if bad else ""), "en", f"src{i % 4}"))
+        docs.append((i, text(60) + (" qzxhwyk wyqzzkx" if bad else ""), "en", f"src{i % 4}"))
         labels.append((i, int(bad)))
     docs += [(1000, text(50) + " " + item, "en", "src1"), (1001, docs[1][1], "en", "src1"), (1002, docs[2][1] + " one", "en", "src2"), (1003, text(40) + " password=hunter2hunter2", "en", "src3"), (1004, None, None, None), (1005, "", "en", "src0")]
     rows = [(d, t, g, s, len(t or ""), "kept") for d, t, g, s in docs]
