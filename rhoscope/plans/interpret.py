@@ -1,8 +1,9 @@
-"""Evaluation of a formula on one trace in plain Python: for empty traces, streams and tests."""
+"""Evaluation of a formula on one trace in plain Python: for empty traces and for streams."""
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 
 from rhoscope.errors import EmptyConstraints, MismatchedLengths, MissingVariable, NanCoefficient
 from rhoscope.functions.metrics import UNREACHABLE, HybridDistance
@@ -58,6 +59,15 @@ def hybrid_distance(f: HybridPredicate, state: dict, label) -> HybridDistance:
     return out
 
 
+def suffixes(samples: list[tuple[float, object]], pick, nothing) -> list[tuple[float, object]]:
+    """Fold of every sample with all later ones."""
+    out = []
+    for t, v in reversed(samples):
+        nothing = pick(nothing, v)
+        out.append((t, nothing))
+    return out[::-1]
+
+
 def interpret(f: Formula, trace: list[tuple[float, dict]], label: str | None = None) -> list[tuple[float, object]]:
     """(time, metric) for every sample; ``trace`` has distinct times in order. Of an empty trace, Always and
     Eventually have one sample, at time 0."""
@@ -79,12 +89,16 @@ def interpret(f: Formula, trace: list[tuple[float, dict]], label: str | None = N
         pick, nothing = (m.meet, m.top) if isinstance(f, Always) else (m.join, m.bottom)
         if not trace:
             return [(0.0, nothing)]
-        inner, out = go(f.operand), []
-        for t, _ in inner:
+        inner = go(f.operand)
+        if f.bounds is None:
+            return suffixes(inner, pick, nothing)
+        times, out = [t for t, _ in inner], []
+        for t in times:
+            first = bisect_left(times, t + f.bounds.low)
+            last = (bisect_right if f.bounds.closed else bisect_left)(times, t + f.bounds.high)
             value = nothing
-            for s, v in inner:
-                if s >= t if f.bounds is None else f.bounds.shift(t).contains(s):
-                    value = pick(value, v)
+            for _, v in inner[first:last]:
+                value = pick(value, v)
             out.append((t, value))
         return out
     if isinstance(f, Next):
@@ -93,16 +107,16 @@ def interpret(f: Formula, trace: list[tuple[float, dict]], label: str | None = N
         return [(t, inner[i + step][1] if 0 <= i + step < len(inner) else m.bottom) for i, (t, _) in enumerate(inner)]
     if isinstance(f, Until):
         left, right = go(f.left), go(f.right)
-        out = []
-        for t, _ in right:
-            best = m.bottom
-            for s, r in right:
-                if s >= t:
-                    value = r
-                    for u, v in left:
-                        if u <= s and (not f.strict or u >= t):
-                            value = m.meet(v, value)
-                    best = m.join(best, value)
-            out.append((t, best))
-        return out
+        if f.strict:
+            after, out = m.bottom, []
+            for (t, r), (_, v) in zip(reversed(right), reversed(left), strict=True):
+                after = m.meet(v, m.join(r, after))
+                out.append((t, after))
+            return out[::-1]
+        low, at, both = m.top, 0, []
+        for t, r in right:
+            while at < len(left) and left[at][0] <= t:
+                low, at = m.meet(low, left[at][1]), at + 1
+            both.append((t, m.meet(low, r)))
+        return suffixes(both, m.join, m.bottom)
     raise TypeError(f"{type(f).__name__} can't be interpreted")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,7 +34,7 @@ def settled_count(f: Formula, times: list[float]) -> int:
         for t in times:
             last = f.bounds.shift(t)
             # Some sample lies beyond the window, and all samples within it are settled.
-            inside = sum(1 for s in times if s <= last.high) if last.closed else sum(1 for s in times if s < last.high)
+            inside = (bisect_right if last.closed else bisect_left)(times, last.high)
             if inside >= len(times) or inside > inner:
                 break
             n += 1

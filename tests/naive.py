@@ -1,0 +1,108 @@
+"""The interpreter straight from the definitions, every window by a look at every sample."""
+
+from __future__ import annotations
+
+import math
+
+from rhoscope.errors import EmptyConstraints, MismatchedLengths, MissingVariable, NanCoefficient
+from rhoscope.functions.metrics import UNREACHABLE, HybridDistance
+from rhoscope.plans.formula import Always, And, Eventually, Formula, HybridPredicate, Implies, Next, Not, Or, Predicate, Prev, Until
+from rhoscope.plans.rewrite import metric_of
+
+
+class Scalar:
+    top, bottom = math.inf, -math.inf
+
+    @staticmethod
+    def meet(a, b):
+        return b if math.isnan(a) else a if math.isnan(b) else min(a, b)
+
+    @staticmethod
+    def join(a, b):
+        return b if math.isnan(a) else a if math.isnan(b) else max(a, b)
+
+    @staticmethod
+    def neg(a):
+        return -a
+
+
+class Hybrid:
+    top, bottom = HybridDistance.robustness(math.inf), UNREACHABLE
+    meet, join, neg = staticmethod(HybridDistance.meet), staticmethod(HybridDistance.join), staticmethod(HybridDistance.__neg__)
+
+
+def robustness(p: Predicate, state: dict) -> float:
+    total = None
+    for name, coefficient in p.coefficients:
+        if math.isnan(coefficient):
+            raise NanCoefficient(name)
+        if state.get(name) is None:
+            raise MissingVariable(name)
+        value = float(state[name])
+        if math.isnan(value):
+            raise ValueError(f"variable {name!r} is NaN")
+        total = coefficient * value if total is None else total + coefficient * value
+    return float(p.constant) if total is None else float(p.constant) - total
+
+
+def hybrid_distance(f: HybridPredicate, state: dict, label) -> HybridDistance:
+    if not f.labels or label in f.labels:
+        return HybridDistance.robustness(robustness(f.predicate, state) if f.predicate else math.inf)
+    out, paths = UNREACHABLE, f.system.paths_from(label)
+    for target in f.labels:
+        if target in paths:
+            distances = paths[target].next_guard.distances(lambda c: min(robustness(c, state), 0.0))
+            if not distances:
+                raise EmptyConstraints("a guard has no constraint")
+            out = out.join(HybridDistance.state_distance(paths[target].hops, max(distances)))
+    return out
+
+
+def interpret(f: Formula, trace: list[tuple[float, dict]], label: str | None = None) -> list[tuple[float, object]]:
+    """(time, metric) for every sample; ``trace`` has distinct times in order. Of an empty trace, Always and
+    Eventually have one sample, at time 0."""
+    m = Scalar if metric_of(f) == "scalar" else Hybrid
+    go = lambda g: interpret(g, trace, label)
+    if isinstance(f, Predicate):
+        return [(t, robustness(f, s)) for t, s in trace]
+    if isinstance(f, HybridPredicate):
+        return [(t, hybrid_distance(f, s, s.get(label))) for t, s in trace]
+    if isinstance(f, Not):
+        return [(t, m.neg(v)) for t, v in go(f.operand)]
+    if isinstance(f, (And, Or, Implies)):
+        left, right = go(f.left), go(f.right)
+        if len(left) != len(right):
+            raise MismatchedLengths(len(left), len(right))
+        both = {And: m.meet, Or: m.join, Implies: lambda a, b: m.join(m.neg(a), b)}[type(f)]
+        return [(t, both(a, b)) for (t, a), (_, b) in zip(left, right, strict=True)]
+    if isinstance(f, (Always, Eventually)):
+        pick, nothing = (m.meet, m.top) if isinstance(f, Always) else (m.join, m.bottom)
+        if not trace:
+            return [(0.0, nothing)]
+        inner, out = go(f.operand), []
+        for t, _ in inner:
+            value = nothing
+            for s, v in inner:
+                if s >= t if f.bounds is None else f.bounds.shift(t).contains(s):
+                    value = pick(value, v)
+            out.append((t, value))
+        return out
+    if isinstance(f, Next):
+        inner = go(f.operand)
+        step = -f.k if isinstance(f, Prev) else f.k
+        return [(t, inner[i + step][1] if 0 <= i + step < len(inner) else m.bottom) for i, (t, _) in enumerate(inner)]
+    if isinstance(f, Until):
+        left, right = go(f.left), go(f.right)
+        out = []
+        for t, _ in right:
+            best = m.bottom
+            for s, r in right:
+                if s >= t:
+                    value = r
+                    for u, v in left:
+                        if u <= s and (not f.strict or u >= t):
+                            value = m.meet(v, value)
+                    best = m.join(best, value)
+            out.append((t, best))
+        return out
+    raise TypeError(f"{type(f).__name__} can't be interpreted")

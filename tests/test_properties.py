@@ -1,7 +1,8 @@
-"""Window plans against the plain interpreter on random irregular traces and formulas."""
+"""Window plans and the interpreter against the definitions, on random irregular traces and formulas."""
 
 import random
 
+import naive
 import pytest
 
 from rhoscope.engine import evaluate, monitor
@@ -40,6 +41,14 @@ def random_formula(rng, depth, leaves, strict):
     )()
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_interpreter(seed):
+    rng = random.Random(1000 + seed)
+    for samples in random_traces(rng).values():
+        f = random_formula(rng, 3, [x <= 0.7, y >= 0.2, x + y <= 1.0], strict=True)
+        assert dict(interpret(f, samples)) == pytest.approx(dict(naive.interpret(f, samples)))
+
+
 def random_traces(rng):
     out = {}
     for i in range(4):
@@ -59,7 +68,8 @@ def test_scalar(spark, seed):
     samples = random_traces(rng)
     traces = traces_of(spark, samples)
     f = random_formula(rng, 3, [x <= 0.7, y >= 0.2, x + y <= 1.0], strict=True)
-    want = {(k, t): v for k, s in samples.items() for t, v in interpret(f, s)}
+    want = {(k, t): v for k, s in samples.items() for t, v in naive.interpret(f, s)}
+    assert {(k, t): v for k, s in samples.items() for t, v in interpret(f, s)} == pytest.approx(want)
     assert {(r.trace_id, r.time): r.robustness for r in monitor(traces, f, half_open=rng.choice(["kernel", "list"])).collect()} == pytest.approx(want)
     first = {k: interpret(f, s)[0][1] for k, s in samples.items()}
     assert {r.trace_id: r.robustness for r in evaluate(traces, f).collect()} == pytest.approx(first)
@@ -76,7 +86,8 @@ def test_hybrid(spark, seed):
     traces = traces_of(spark, samples)
     leaves = [HybridPredicate(x <= 0.7, {1}, SYSTEM), HybridPredicate(None, {2, 3}, SYSTEM), HybridPredicate(y >= 0.0, (), SYSTEM)]
     f = random_formula(rng, 3, leaves, strict=False)
-    want = {(k, t): v for k, s in samples.items() for t, v in interpret(f, s, "label")}
+    want = {(k, t): v for k, s in samples.items() for t, v in naive.interpret(f, s, "label")}
+    assert {(k, t): v for k, s in samples.items() for t, v in interpret(f, s, "label")} == want
     assert {(r.trace_id, r.time): hybrid_row(r) for r in monitor(traces, f).collect()} == want
     assert {r.trace_id: hybrid_row(r) for r in evaluate(traces, f).collect()} == {k: interpret(f, s, "label")[0][1] for k, s in samples.items()}
 
