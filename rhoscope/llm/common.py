@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,5 +157,11 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's JVM drop what no frame refers to any more, so that Spark removes its shuffle files."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of what no frame refers to any more.
+
+    Its cleaner learns of that from the JVM's garbage collector, a second time for what the first set free.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
