@@ -47,10 +47,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = own.unionAll(own.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_u"), F.least("a", "m").alias("m"))
+        # Minima are written first: a join of two exchanges is one whose skewed side Spark can split.
+        low = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_u"), F.least("a", "m").alias("m")))
         large = both.filter("b > a").join(low, F.col("a") == F.col("_u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = settled(down)
+        least = settled(down.groupBy("a").agg(F.min("b").alias("m")))
         rest = down.join(least.withColumnRenamed("a", "_u"), F.col("a") == F.col("_u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = settled(least.withColumnRenamed("m", "b").unionAll(rest).distinct())
         now = own.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -5,6 +5,9 @@ with the keys that occur more than once; answers come together per group of text
 shuffled (about 6 bytes each), and of the answers only what is shared. A key that a third of all texts hold
 costs a part one entry per text, like any other; parts are sized by the number of all keys.
 
+Slices of text are named by task and place, so ``documents`` must give the same rows in the same order when a
+lost task runs again: a table does; write anything else to one first, as the pipeline does between stages.
+
 Exact copies share one text id (128 bits of SHA-256). Copies in one Arrow batch are taken once; copies that
 meet only later make their own keys count as shared, which is harmless to both users.
 """

@@ -409,7 +409,9 @@ def _results(documents: DataFrame, width: int, hot: int, whole: bool) -> DataFra
     lows = classes.groupBy(F.col("tid").alias("_l")).agg(F.min("doc_id").alias("low"))
     # A text that loses nothing keeps the hash of the whole; that is made from the table's own text.
     plain = settled(rows.select("doc_id", text_digest().alias("whole_sha256"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))).withColumn("tid", F.unhex(F.substring("whole_sha256", 1, 32)))
-    joined = plain.join(lows, F.col("tid") == F.col("_l")).join(cut, F.col("tid") == F.col("_w"), "left")
+    # What belongs to a text is put together first; then one join, whose skewed side Spark can split, meets the copies.
+    about = lows.join(cut, F.col("_l") == F.col("_w"), "left").drop("_w")
+    joined = plain.join(settled(about), F.col("tid") == F.col("_l"))
     copy = ~F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("n_bytes") >= width)
     empty = hashlib.sha256(b"").hexdigest()
     columns = [
