@@ -120,19 +120,23 @@ def _prior_weight(groups: DataFrame, mean: str) -> float:
     return max(1.0, r["all"] / beyond - 1)
 
 
-def score_quality(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, learn: Column | None = None, max_examples: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """``documents`` with evidence, host_posterior, path_posterior, score and kept (score >= ``threshold``)."""
+def score_quality(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, learn: Column | None = None, max_examples: int = 20_000, threshold: float = 0.5, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """``documents`` with evidence, host_posterior, path_posterior, score and kept (score >= ``threshold``).
+
+    ``columns`` of the documents stay (None: all); what stays is written to the shared folder once.
+    """
     own = ("evidence", "host_posterior", "path_posterior", "score", "kept")
-    keep = [c for c in documents.columns if c not in own]
+    keep = [c for c in (documents.columns if columns is None else columns) if c not in own]
     model = fit(documents, labels, F.lit(True) if learn is None else learn, max_examples)
-    named = documents.select(*(f"`{c}`" for c in keep), (F.col("source") if host is None else host).alias("_host"), (F.col("lang") if path is None else path).alias("_path"))
+    named = documents.select(*(f"`{c}`" for c in keep), F.col("text").alias("_text"), (F.col("source") if host is None else host).alias("_host"), (F.col("lang") if path is None else path).alias("_path"))
 
     def measured(batches):
         for batch in batches:
-            p = model.probabilities(features(*texts_of(batch.column("text")))) if model else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "evidence"])
+            p = model.probabilities(features(*texts_of(batch.column("_text")))) if model else np.full(batch.num_rows, 0.5)
+            names = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(p, pa.float64())], names=[*names, "evidence"])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields if f.name != "_text")
     scored = settled(named.mapInArrow(measured, f"{shape}, evidence double"))
     paths = settled(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("evidence").alias("p_sum")))
     hosts = paths.groupBy(F.col("_host").alias("_h")).agg(F.sum("n").alias("n"), F.sum("p_sum").alias("p_sum"))

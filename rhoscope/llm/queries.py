@@ -41,7 +41,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=toxicity.fold() != 0)
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=toxicity.fold() != 0, columns=("doc_id",))
     return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", F.col("kept").cast("int").alias("predicted"), "kept")
 
 
