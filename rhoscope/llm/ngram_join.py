@@ -121,8 +121,9 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int, frequent: int, **sizes_of_work: int) -> tuple[DataFrame, DataFrame]:
-    """(tid, n) of every text with words, and (tid, component) of those that link with another text."""
+def indexed_texts(documents: DataFrame, total_bytes: int, size: int, percent: int, frequent: int, **sizes_of_work: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three frames: (tid, n) of every text with words; index entries that several texts have, with what
+    _can_link needs of each text; and (tid, n, keys) of those texts, keys being their shared shingles."""
 
     def keys_of(offsets, data):
         words, first = word_hashes(data, offsets)
@@ -140,7 +141,6 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
     release(spark)
     sizes = found.groupBy("tid").agg(F.max("n").alias("n"))
     # A text may come from several blocks; its entries are the same each time.
-    about = ["n", "e", "r", *PARITIES]
     entries = found.filter("entries is not null").select("tid", "n", "e", *(F.col("bits")[i].alias(p) for i, p in enumerate(PARITIES)), F.explode(F.arrays_zip("entries", "places")).alias("z"))
     exploded = entries.select(F.col("z.entries").alias("entry"), "tid", "n", "e", F.col("z.places").alias("r"), *PARITIES)
     several = exploded.groupBy("entry").agg(F.min("tid").alias("_low"), F.max("tid").alias("_high")).filter("_low <> _high").select(F.col("entry").alias("_entry"))
@@ -149,17 +149,31 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
     sets = settled(found.filter("keys is not null").select("tid", "n", "keys").join(used, F.col("tid") == F.col("_tid"), "left_semi").dropDuplicates(["tid"]))
     release(spark)
 
-    second = lambda c: F.col(c).alias({"entry": "entry2", "tid": "tid2", **{p: f"{p}_2" for p in PARITIES}}.get(c, f"{c}2"))
-    central = index.groupBy("entry").agg(F.max_by(F.struct("entry", "tid", *about), F.struct(F.col("e") / F.col("n"), "n", "tid")).alias("c")).select("c.*").select(*map(second, ("entry", "tid", *about)))
+    return sizes, index, sets
+
+
+ABOUT = ["n", "e", "r", *PARITIES]
+
+
+def _second(c: str) -> Column:
+    """A column of the other text of a pair."""
+    return F.col(c).alias({"entry": "entry2", "tid": "tid2", **{p: f"{p}_2" for p in PARITIES}}.get(c, f"{c}2"))
+
+
+def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int, frequent: int, **sizes_of_work: int) -> tuple[DataFrame, DataFrame]:
+    """(tid, n) of every text with words, and (tid, component) of those that link with another text."""
+    spark = documents.sparkSession
+    sizes, index, sets = indexed_texts(documents, total_bytes, size, percent, frequent, **sizes_of_work)
+    central = index.groupBy("entry").agg(F.max_by(F.struct("entry", "tid", *ABOUT), F.struct(F.col("e") / F.col("n"), "n", "tid")).alias("c")).select("c.*").select(*map(_second, ("entry", "tid", *ABOUT)))
     stars = index.join(central, (F.col("entry") == F.col("entry2")) & (F.col("tid") != F.col("tid2")) & _can_link(percent))
     links = settled(_verified(settled(stars.select(*_ordered("tid", "tid2")).distinct()), sets, percent))
     found_so_far = settled(components(links))
     release(spark)
 
-    placed = index.join(found_so_far, F.col("tid") == F.col("node"), "left").select("entry", "tid", *about, F.coalesce("component", "tid").alias("component"))
+    placed = index.join(found_so_far, F.col("tid") == F.col("node"), "left").select("entry", "tid", *ABOUT, F.coalesce("component", "tid").alias("component"))
     mixed = placed.groupBy("entry", "component").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select(F.col("entry").alias("_entry"), "main")
     open_ = settled(placed.join(mixed, F.col("entry") == F.col("_entry")).drop("_entry"))
-    others = open_.select(*map(second, ("entry", "tid", *about, "component")))
+    others = open_.select(*map(_second, ("entry", "tid", *ABOUT, "component")))
     rest = open_.filter("component <> main").join(others, (F.col("entry") == F.col("entry2")) & (F.col("component") != F.col("component2")) & _can_link(percent))
     more = settled(_verified(settled(rest.select(*_ordered("tid", "tid2")).distinct()), sets, percent))
     release(spark)
@@ -167,6 +181,19 @@ def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int
     return sizes, settled(joined).select(F.col("node").alias("tid"), "component")
 
 
+def similar_pairs(documents: DataFrame, size: int = 5, percent: int = 80, frequent: int = 64, **sizes_of_work: int) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (tid, tid2) of all links between different texts, and (doc_id, tid), who has which text.
+
+    A group of n near copies has up to n^2 / 2 links, and they are all here; join_ngrams needs far fewer.
+    """
+    classes = text_classes(documents.select("doc_id", "text"))
+    total = classes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    _, index, sets = indexed_texts(documents.select("text"), total, size, percent, frequent, **sizes_of_work)
+    others = index.select(*map(_second, ("entry", "tid", *ABOUT)))
+    pairs = index.join(others, (F.col("entry") == F.col("entry2")) & (F.col("tid") < F.col("tid2")) & _can_link(percent)).select(F.col("tid").alias("a"), F.col("tid2").alias("b")).distinct()
+    return settled(_verified(settled(pairs), sets, percent)).select(F.col("a").alias("tid"), F.col("b").alias("tid2")), classes.select("doc_id", "tid")
+
+
 def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, frequent: int = 64, **sizes_of_work: int) -> DataFrame:
     """(doc_id, tid, n_shingles, component_id) of every row; links are Jaccard similarities of ``percent`` or more.
 

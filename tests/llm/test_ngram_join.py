@@ -28,6 +28,19 @@ def test_components_are_those_of_all_pairs(spark, size, percent, frequent):
     assert got == brute.ngram_components(rows, size, percent)
 
 
+def test_pairs_are_all_links_between_different_texts(spark):
+    rows = corpus()
+    pairs, classes = ngram_join.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=90, frequent=3)
+    first = {}
+    for r in classes.collect():
+        first[bytes(r.tid)] = min(r.doc_id, first.get(bytes(r.tid), r.doc_id))
+    got = {frozenset((first[bytes(r.tid)], first[bytes(r.tid2)])) for r in pairs.collect()}
+    sets = {first[t]: brute.shingle_set(dict(rows)[first[t]], 3) for t in first}
+    ids = [d for d, s in sets.items() if s]
+    want = {frozenset((a, b)) for i, a in enumerate(ids) for b in ids[:i] if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    assert got == want and len(want) > 100
+
+
 def test_empty_table_null_ids_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert ngram_join.join_ngrams(spark.createDataFrame([], schema)).count() == 0
