@@ -50,8 +50,12 @@ def _sql(metric: str, inner: str = "", columns: str = "user_id, time") -> str:
 
 
 def _register(name: str, formula: Formula, sql: str, whole: bool = False, **options) -> None:
-    QUERIES[name] = lambda spark, sf_dir: monitor(events(spark, sf_dir, whole), formula, **options)
-    ORACLE_SQL[name] = sql
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = monitor(events(spark, sf_dir, whole), formula, **options)
+        # Where there are no hops the engine has NULL; here it is -1, as comparisons differ on integers with NULL.
+        return out.withColumn("hops", F.coalesce("hops", F.lit(-1))) if "hops" in out.columns else out
+
+    QUERIES[name], ORACLE_SQL[name] = query, sql
 
 
 def _within(kind: str, low: float, high: float) -> str:
@@ -98,7 +102,7 @@ _R = lambda rho: f"struct_pack(r := 2, n := 0, d := ({rho})::DOUBLE)"  # noqa: E
 _S = lambda hops, dist: f"struct_pack(r := 1, n := -{hops}, d := ({dist})::DOUBLE)"
 _BUYING = f"CASE mode WHEN 'purchase' THEN {_R('400.0 - x')} WHEN 'view' THEN {_S(2, 'least(100.0 - x, 0.0)')} WHEN 'click' THEN {_S(1, 'least(x - 20.0, 0.0)')} WHEN 'signup' THEN {_S(3, 'greatest(least(50.0 - x, 0.0), least(x - 10.0, 0.0))')} ELSE {_STRUCT['u']} END"
 _SEEING = f"CASE WHEN mode IN ('view', 'signup') THEN {_R('x - 5.0')} WHEN mode = 'click' THEN {_S(2, 'least(x - 20.0, 0.0)')} WHEN mode = 'purchase' THEN {_S(1, 'least(x, 0.0)')} ELSE {_STRUCT['u']} END"
-_FLAT = "CASE m.r WHEN 2 THEN 'robustness' WHEN 1 THEN 'state_distance' ELSE 'unreachable' END AS kind, CASE WHEN m.r = 1 THEN -m.n END AS hops, CASE WHEN m.r > 0 THEN m.d + 0.0 END AS dist"
+_FLAT = "CASE m.r WHEN 2 THEN 'robustness' WHEN 1 THEN 'state_distance' ELSE 'unreachable' END AS kind, CASE WHEN m.r = 1 THEN -m.n ELSE -1 END AS hops, CASE WHEN m.r > 0 THEN m.d + 0.0 END AS dist"
 
 
 def _hybrid(metric: str) -> str:
