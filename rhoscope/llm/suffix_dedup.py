@@ -333,6 +333,16 @@ def _dealt(raw, offsets, keys, often, lows, width, parts):
     return rows
 
 
+def _first_minima(sums, starts, width):
+    """The smallest hash of the grams in the first window of each segment."""
+    grams = np.arange(width - GRAM + 1)
+    out = []
+    for i in range(0, starts.size, 20_000):
+        at = starts[i : i + 20_000, None] + grams
+        out.append(span_hashes(sums, at, at + GRAM).min(1))
+    return np.concatenate(out) if out else np.zeros(0, U)
+
+
 def _matched(blocks, rows, width):
     """(block, spans, None): for each row the spans of its documents that an earlier document's segment holds."""
     rows = [tuple(map(expanded, r)) for r in rows]
@@ -341,8 +351,8 @@ def _matched(blocks, rows, width):
     length = np.concatenate(lengths)
     raw = np.frombuffer(contents, np.uint8)
     ends = np.cumsum(length)
-    name = span_hashes(prefix_hashes(raw, BYTE_VALUES), ends - length, ends)
-    _, one, distinct = np.unique(name, return_index=True, return_inverse=True)
+    sums = prefix_hashes(raw, BYTE_VALUES)
+    _, one, distinct = np.unique(span_hashes(sums, ends - length, ends), return_index=True, return_inverse=True)
     own, base = [], 0
     owners = np.full(one.size, LAST, U)
     for r, own_lengths in zip(rows, lengths, strict=True):
@@ -354,9 +364,18 @@ def _matched(blocks, rows, width):
         own.append((low[doc], docs[doc], content, unplanes(r[5]).astype(np.int64)))
         base += own_lengths.size
     size = length[one]
-    at = np.repeat(ends[one] - size - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    least, first = smallest_owners(raw[at].tobytes(), size, owners, width)
-    windows = np.diff(first)
+    windows = size - width + 1
+    first = np.r_[0, np.cumsum(windows)]
+    least = np.repeat(owners, windows)
+    # Equal windows have one smallest hash; a segment that is alone with its hash shares no window.
+    low = _first_minima(sums, ends[one] - size, width)
+    _, alike, times = np.unique(low, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[alike] > 1)
+    if some.size:
+        n = size[some]
+        at = np.repeat(ends[one[some]] - n - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        found, begin = smallest_owners(raw[at].tobytes(), n, owners[some], width)
+        least[np.repeat(first[some] - begin[:-1], windows[some]) + np.arange(found.size)] = found
     lowest = np.minimum.reduceat(least, first[:-1]) if least.size else least
     out = []
     for block, (low, docs, content, place) in zip(blocks, own, strict=True):
