@@ -134,7 +134,8 @@ def link_embeddings(df: DataFrame, threshold: float = 0.95, recall: float = 0.97
     groups = components(found.filter("b is not null").select("a", "b"))
     texts = good.select("_vid", "low", "times").join(numbers, F.col("_vid") == F.col("_a"), "left").join(groups, F.col("_vid") == F.col("node"), "left")
     texts = settled(texts.select("_vid", "low", (F.col("times") - 1 + F.coalesce("_n", F.lit(0))).alias("n_links"), F.coalesce("component", "_vid").alias("component")))
-    lows = texts.groupBy("component").agg(F.min("low").alias("component_id")).withColumnRenamed("component", "_c")
+    # Written first, so that Spark can split the join where a component is large.
+    lows = settled(texts.groupBy(F.col("component").alias("_c")).agg(F.min("low").alias("component_id")))
     known = texts.join(lows, F.col("component") == F.col("_c")).select(F.col("_vid").alias("_k"), "n_links", "component_id")
     out = named.join(known, F.col("_vid") == F.col("_k"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("_k").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -205,7 +205,8 @@ def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, frequent
     lowest = classes.groupBy("tid").agg(F.min("doc_id").alias("low"))
     texts = lowest.join(sizes.withColumnRenamed("tid", "_t"), F.col("tid") == F.col("_t"), "left").drop("_t").join(linked.withColumnRenamed("tid", "_t"), F.col("tid") == F.col("_t"), "left").drop("_t")
     texts = settled(texts.select("tid", "low", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "tid").alias("component")))
-    named = texts.groupBy("component").agg(F.min("low").alias("component_id")).withColumnRenamed("component", "_c")
+    # Written first, so that Spark can split the join where a component is large.
+    named = settled(texts.groupBy(F.col("component").alias("_c")).agg(F.min("low").alias("component_id")))
     texts = texts.join(named, F.col("component") == F.col("_c")).select(F.col("tid").alias("_t"), F.col("n").alias("n_shingles"), "component_id")
     # Texts without words link with nothing, copies or not.
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
