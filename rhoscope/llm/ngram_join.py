@@ -5,11 +5,12 @@ reaches the threshold t share at least 1 + m members among the first n - ceil(t
 shingles index a text singly. Frequent ones (in more than ``frequent`` texts) fall by hash into m groups and
 index it in pairs of one group: of 1 + m shared members either one is rare or two fall into one group.
 m follows the size of the set (a power of two near n / 16), so pairs stay in proportion to the prefix; a text
-near a border of sizes is indexed for both. A shingle of one text only takes its place in the prefix but
-indexes nothing. Texts with one index entry in common are candidates unless their sizes, the places of the
-common shingle, or their parities rule the threshold out; candidates are verified on their shared shingles.
-Parities are 256 bits of a set, each flipped once per shingle that falls on it: two sets differ in at least as
-many shingles as bits.
+near a border of sizes is indexed for both. Where 1 + m is more than two sets must share (sets of one shingle,
+at low thresholds larger ones), the whole set indexes the text singly as well. A shingle of one text only takes
+its place in the prefix but indexes nothing. Texts with one index entry in common are candidates unless their
+sizes, the places of the common shingle, or their parities rule the threshold out; candidates are verified on
+their shared shingles. Parities are 256 bits of a set, each flipped once per shingle that falls on it: two sets
+differ in at least as many shingles as bits.
 
 Only components are wanted, so a group of thousands of copies needs no pairs among all of them. First every
 index entry's most central text is verified against its other texts; most entries then lie in one component.
@@ -46,13 +47,15 @@ def index_entries(n: int, keys: np.ndarray, counts: np.ndarray, percent: int, fr
         least = n
     alone = n - keys.size
     entries, places = [], []
-    levels = sorted({level(least), level(n), level(most)})
+    levels = range(level(least), level(most) + 1)
     reach = lambda m: max(0, min(n, n - least + 1 + m) - alone)
     prefix = keys[: reach(1 << levels[-1])]
     rare = int(np.searchsorted(counts[: prefix.size], frequent, "right"))
-    if rare:
-        entries.append(mix(prefix[:rare]))
-        places.append(np.arange(rare))
+    # Partners may share fewer than 1 + m; then prefix is all of keys, and the common one may be frequent.
+    singly = rare if 1 + (1 << levels[-1]) <= least else prefix.size
+    if singly:
+        entries.append(mix(prefix[:singly]))
+        places.append(np.arange(singly))
     for at in levels:
         prefix = keys[: reach(1 << at)]
         if prefix.size - rare < 2:

@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from rhoscope.llm import ngram_join
@@ -55,3 +56,30 @@ def test_one_of_each_keeps_columns_and_clean_rows(spark):
     kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert kept.columns == ["doc_id", "text", "source"]
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9]
+
+
+def test_one_frequent_shingle_links_texts(spark):
+    words = "thank you all"
+    rows = [(i, "".join(c.upper() if i >> k & 1 else c for k, c in enumerate(words))) for i in range(70)]
+    rows += [(100 + i, f"{words} {' '.join(f'w{i}x{k}' for k in range(i % 5))}") for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=90).collect()}
+    assert got == brute.ngram_components(rows, 3, 90)
+    assert {got[i] for i in range(70)} == {(1, 0)}
+
+
+@pytest.mark.parametrize("percent", [10, 30, 50, 80, 90])
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_linked_sets_have_an_entry_in_common(percent, frequent):
+    rng = random.Random(percent)
+    sets = []
+    for _ in range(60):
+        base = rng.sample(range(1, 400), rng.choice([1, 2, 3, 20, 150]))
+        sets += [set(rng.sample(base, rng.randrange(1, len(base) + 1))) for _ in range(3)]
+    counts = {x: sum(x in s for s in sets) for s in sets for x in s}
+    entries = []
+    for s in sets:
+        keys = sorted((x for x in s if counts[x] > 1), key=lambda x: (counts[x], x))
+        found, _ = ngram_join.index_entries(len(s), np.array(keys, np.uint64), np.array([counts[x] for x in keys], np.int64), percent, frequent)
+        entries.append(set(found.tolist()))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    assert all(entries[i] & entries[j] for i, j in pairs)
