@@ -1,16 +1,20 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosines over an inverted index of all their words.
 
 Fitting takes at most ``max_examples`` labelled documents (lowest hash of doc_id first, a documented bound;
-copies and near copies, by their smallest shingle, count once). Terms are pieces of words: whole words,
-starts of words and inner pieces of 4 to 8 characters, written with a space where a word begins or ends, so a
-term is a plain substring of the normalised text. Kept are terms that go with toxic labels beyond chance
-(binomial log-likelihood of ``min_evidence`` nats), one for each set of documents, at most ``max_terms``.
-
-A document's terms are counted in one pass of an Aho-Corasick automaton over the whole text. Examples lie in
-blocks with the largest weight of each term per block; a query visits blocks by falling bound and stops when
-no block can hold a nearer example than the k-th, so the k nearest are exact. Votes are weighed by squared
-similarity and pulled towards the base rate; a logistic curve fitted on leave-one-out votes calibrates them.
-A text without terms is equally far from every example; its score is the toxic rate of such examples.
+copies and near copies, by their smallest shingle, count once). Every word of an example is a term, in the index
+by its 64-bit hash, however rare and whatever its labels, so neighbours are searched for every text that has a
+word in common with an example. Pieces of words are terms too: starts of words and inner pieces of 4 to 8
+characters, written with a space where a word begins or ends, so a piece is a plain substring of the normalised
+text. There are millions, so of them only those stay that at least double the odds of a toxic label, beyond
+chance (binomial log-likelihood of ``min_evidence`` nats), one for each set of documents, at most ``max_terms``.
+They are what ``terms`` lists. A term weighs TF-IDF times 1 + r^2, r being the logarithm by which it changes
+the odds of the label, pulled towards 0 as if seen in 4 more documents at the common rate.
+
+A query adds up cosines with all examples: the commonest terms' as a product of matrices, the others' from their
+lists. What comes near the k-th is summed again in full precision, so the k nearest are exact. Votes are
+weighed by squared similarity and pulled towards the base rate; a logistic curve fitted on leave-one-out votes
+calibrates them. A text without terms is equally far from every example; its score is the toxic rate of such
+examples.
 
 Cases: null or empty texts score as texts without terms. Labels that are null are not used; a document with
 several labels is toxic if one is. Without any label the score is 0. Repeated rows are scored apart; further
@@ -24,6 +28,7 @@ import pickle
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import settled, shingles, texts_of, trim, word_hashes
+from rhoscope.llm.common import runs, settled, shingles, texts_of, trim, word_hashes
+from rhoscope.llm.shared import HASHED_BYTES
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = range(4, 9)
@@ -54,61 +60,118 @@ def pieces(text: str | None) -> set[str]:
     return out
 
 
+def words_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every text the sorted hashes of its words, and how often each occurs."""
+    offsets, data = texts_of(pa.array([normal(t) for t in texts], pa.large_string()))
+    for a, b in runs(offsets, HASHED_BYTES):
+        hashes, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for i in range(b - a):
+            yield np.unique(hashes[first[i] : first[i + 1]], return_counts=True)
+
+
 class Index:
-    """Examples as inverted lists in blocks; the k nearest by cosine, exactly."""
+    """Examples as inverted lists; the k nearest by cosine, exactly. ``block`` queries are multiplied at once.
 
-    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[object, int, dict[int, int]]], base: float, k: int = 15, block: int = 64, prior: float = 1.0):
-        self.terms, self.idf, self.base, self.k, self.block, self.prior = terms, np.array(idf), base, k, block, prior
+    An example is (name, label, counts by term); counts are a dict or two arrays, terms ascending.
+    """
+
+    #: As many of the commonest terms, at most, are rows of a matrix.
+    DENSE = 512
+
+    def __init__(self, terms, idf, examples: list[tuple[object, int, object]], base: float, k: int = 15, block: int = 64, prior: float = 1.0, without: float | None = None):
+        self.idf, self.base, self.k, self.block, self.prior = np.array(idf, float), base, k, block, prior
+        self.without = base if without is None else without
         self.curve = (1.0, 0.0)
-        vectors = [self.vector(tf) for _, _, tf in examples]
-        # Alike examples share blocks, so that bounds are tight.
-        order = sorted(range(len(examples)), key=lambda i: (sorted(vectors[i], key=lambda t: -vectors[i][t]), str(examples[i][0])))
-        self.ids, self.toxic = [examples[i][0] for i in order], np.array([examples[i][1] for i in order], float)
-        self.blocks = -(-len(order) // block)
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t].append((at, w))
-        self.at = [np.array([a for a, _ in p], np.int64) for p in lists]
-        self.weight = [np.array([w for _, w in p]) for p in lists]
-        self.bound = np.zeros((len(terms), self.blocks))
-        self.edges = []
-        for t, a in enumerate(self.at):
-            np.maximum.at(self.bound[t], a // block, self.weight[t])
-            self.edges.append(np.searchsorted(a, np.arange(self.blocks + 1) * block))
-        self.calibrate([vectors[i] for i in order])
+        rows = [(name, toxic, *self.arrays(tf)) for name, toxic, tf in examples]
+        rows.sort(key=lambda r: (str(r[0]), r[1], r[2].tobytes(), r[3].tobytes()))
+        self.ids, self.toxic = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+        terms = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in rows)])
+        counts = np.concatenate([np.zeros(0, np.int32), *(r[3] for r in rows)])
+        order = np.argsort(terms, kind="stable")
+        self.edges = np.r_[0, np.cumsum(np.bincount(terms, minlength=self.idf.size))]
+        self.at = np.repeat(np.arange(len(rows), dtype=np.int32), [r[2].size for r in rows])[order]
+        self.counts = counts[order].astype(np.min_scalar_type(counts.max(initial=0)))
+        del terms, counts, order
+        self.weigh()
+        self.calibrate([(r[2], r[3]) for r in rows])
+
+    @staticmethod
+    def arrays(tf) -> tuple[np.ndarray, np.ndarray]:
+        t, n = (sorted(tf), [tf[t] for t in sorted(tf)]) if isinstance(tf, dict) else tf
+        return np.asarray(t, np.int32), np.asarray(n, np.int32)
+
+    def weigh(self) -> None:
+        """What follows from the counts: weights in the lists, and the matrix."""
+        sizes = np.diff(self.edges)
+        self.weight = (1 + np.log(self.counts.astype(float))) * np.repeat(self.idf, sizes)
+        self.weight /= np.sqrt(np.bincount(self.at, self.weight * self.weight, len(self.ids)))[self.at]
+        common = np.argsort(-sizes, kind="stable")[: self.DENSE]
+        common = np.sort(common[sizes[common] > len(self.ids) // 32])
+        self.slot = np.full(sizes.size, -1, np.int32)
+        self.slot[common] = np.arange(common.size)
+        self.matrix = np.zeros((common.size, len(self.ids)))
+        for i, t in enumerate(common):
+            a, z = self.edges[t], self.edges[t + 1]
+            self.matrix[i, self.at[a:z]] = self.weight[a:z]
+        self.rough = self.matrix.astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "slot", "matrix", "rough")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.weigh()
+
+    def weights(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(n)) * self.idf[t]
+        return w / math.sqrt(w @ w)
 
     def vector(self, tf: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()}
+        t, n = self.arrays(tf)
+        return dict(zip(t.tolist(), self.weights(t, n).tolist(), strict=True))
 
     def nearest(self, v: dict[int, float], without: int = -1) -> list[tuple[float, int]]:
-        """(similarity, example) by falling similarity, then example; similarity 0 isn't near."""
-        terms = list(v)
-        bounds = np.array(list(v.values())) @ self.bound[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == self.k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t in terms:
-                a, z = self.edges[t][b], self.edges[t][b + 1]
-                if a < z:
-                    scores[self.at[t][a:z] - b * self.block] += v[t] * self.weight[t][a:z]
-            found = [(round(float(scores[i]), 12), b * self.block + int(i)) for i in np.flatnonzero(scores)]
-            best = sorted([*best, *(x for x in found if x[1] != without)], key=lambda x: (-x[0], x[1]))[: self.k]
-        return best
+        t = np.array(sorted(v), np.int64)
+        return next(self.search([(t, np.array([v[i] for i in t.tolist()]))], [without]))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """For every query, (similarity, example) by falling similarity, then example; similarity 0 isn't near."""
+        size = len(self.ids)
+        for first in range(0, len(queries), self.block):
+            some = queries[first : first + self.block]
+            left = np.zeros((len(some), self.rough.shape[0]), np.float32)
+            for i, (t, w) in enumerate(some):
+                dense = self.slot[t] >= 0
+                left[i, self.slot[t[dense]]] = w[dense]
+            for i, ((t, w), rough) in enumerate(zip(some, left @ self.rough, strict=True)):
+                dense = self.slot[t] >= 0
+                rows, scale, t, w = self.slot[t[dense]], w[dense], t[~dense], w[~dense]
+                sizes = self.edges[t + 1] - self.edges[t]
+                at = np.repeat(self.edges[t] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                exact = np.bincount(self.at[at], np.repeat(w, sizes) * self.weight[at], size)
+                scores = exact + rough
+                if without is not None and without[first + i] >= 0:
+                    scores[without[first + i]] = 0
+                least = np.partition(scores, size - self.k)[size - self.k] - 1e-5 if size > self.k else 0.0
+                near = np.flatnonzero((scores > 0) & (scores >= least))
+                # Added up term by term, so that a sum doesn't depend on what else is summed.
+                found = np.round(exact[near] + (scale[:, None] * self.matrix[rows[:, None], near[None]]).sum(axis=0), 12)
+                order = np.lexsort((near, -found))[: self.k]
+                yield list(zip(found[order].tolist(), near[order].tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = np.array([s * s for s, _ in near])
         return float((weights @ self.toxic[[i for _, i in near]] if near else 0.0) + self.prior * self.base) / float(weights.sum() + self.prior)
 
-    def calibrate(self, vectors: list[dict[int, float]]) -> None:
+    def calibrate(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Fit a logistic curve to leave-one-out votes; a weak pull keeps it near the identity."""
         if not len(self.toxic):
             return
-        x = np.array([logit(self.vote(self.nearest(v, i))) for i, v in enumerate(vectors)])
+        x = []
+        for first in range(0, len(counts), 512):
+            some = [(t, self.weights(t, n)) for t, n in counts[first : first + 512]]
+            x += [logit(self.vote(near)) for near in self.search(some, list(range(first, first + len(some))))]
+        x = np.array(x)
         a, b = 1.0, 0.0
         for _ in range(25):
             p = 1 / (1 + np.exp(-(a * x + b)))
@@ -119,11 +182,10 @@ class Index:
         if a > 0 and math.isfinite(a) and math.isfinite(b):
             self.curve = (a, b)
 
-    def score(self, tf: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        if not tf:
-            return self.base, []
-        near = self.nearest(self.vector(tf))
-        return 1 / (1 + math.exp(-(self.curve[0] * logit(self.vote(near)) + self.curve[1]))), near
+    def score(self, tfs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        found = self.search([(t, self.weights(t, n)) for t, n in tfs if t.size])
+        nearest = [next(found) if t.size else None for t, _ in tfs]
+        return [(self.without, []) if near is None else (1 / (1 + math.exp(-(self.curve[0] * logit(self.vote(near)) + self.curve[1]))), near) for near in nearest]
 
 
 def logit(p: float) -> float:
@@ -142,8 +204,8 @@ def machine(terms: list[str]):
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: int = 12_000, max_terms: int = 1500, min_evidence: float = 18.0) -> tuple[list[str], Index | None]:
-    """Learn from labelled documents for which ``learn`` (a Column on doc_id) holds."""
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: int = 12_000, max_terms: int = 1500, min_evidence: float = 18.0) -> tuple[np.ndarray, list[str], Index | None]:
+    """Learn from labelled documents for which ``learn`` (a Column on doc_id) holds: words, pieces, and the index of both."""
     taken = labels.filter("doc_id is not null and toxic is not null").filter(learn).groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     # At most max_examples rows: a bound that doesn't grow with the data.
     chosen = documents.select("doc_id", "text").join(F.broadcast(taken.withColumnRenamed("doc_id", "_doc")), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic"))
@@ -159,7 +221,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: in
     sample = settled(chosen.mapInArrow(keyed, f"doc_id {kind}, text string, toxic int, near long").groupBy("near").agg(F.min_by("doc_id", F.struct("doc_id", "text")).alias("doc_id"), F.min_by("text", F.struct("doc_id", "text")).alias("text"), F.max("toxic").alias("toxic")).drop("near"))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
-        return [], None
+        return np.zeros(0, np.uint64), [], None
 
     def counted(batches):
         held: dict[str, list[int]] = {}
@@ -184,63 +246,94 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: in
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(3))], names=["term", "n", "bad", "docs"])
 
     p = toxic / n
-    terms: list[tuple[str, int]] = []
+    names: list[str] = []
     if 0 < p < 1:
         bad, good = F.col("bad"), F.col("n") - F.col("bad")
         evidence = bad * F.log(bad / (F.col("n") * p)) + F.when(good > 0, good * F.log(good / (F.col("n") * (1 - p)))).otherwise(0.0)
         summed = sample.mapInArrow(counted, "term string, n long, bad long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_xor("docs").alias("docs"))
-        strong = summed.filter((bad > 0) & (bad > 2 * p * F.col("n"))).withColumn("evidence", evidence).filter(F.col("evidence") >= min_evidence)
+        strong = summed.filter((bad > 0) & (bad * (1 - p) > 2 * p * good)).withColumn("evidence", evidence).filter(F.col("evidence") >= min_evidence)
         once = strong.groupBy("n", "bad", "docs").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"), F.max("evidence").alias("evidence"))
-        terms = [(r["term"], r["n"]) for r in once.orderBy(F.desc("evidence"), "term").limit(max_terms).collect()]
-    names = [t for t, _ in terms]
+        names = [r["term"] for r in once.orderBy(F.desc("evidence"), "term").limit(max_terms).collect()]
     reader = machine(names)
-    examples, none, none_bad = [], 0, 0
 
     def vectors(batches):
         for batch in batches:
-            found = [dict(Counter(i for _, i in reader.iter(normal(t)))) if names else {} for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
+            texts = batch.column("text").to_pylist()
+            words = [(h.tobytes(), n.astype(np.int32).tobytes()) for h, n in words_of(texts)]
+            found = [counts_of(reader, names, t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array([w[i] for w in words], pa.binary()) for i in range(2)), *(pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in range(2))], names=["doc_id", "toxic", "words", "counts", "terms", "n"])
+        trim()
 
-    for r in sample.mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<int>, counts array<int>").collect():
-        if r["terms"]:
-            examples.append((r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))))
+    rows = sample.mapInArrow(vectors, f"doc_id {kind}, toxic int, words binary, counts binary, terms binary, n binary").collect()
+    hashes = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    words = np.unique(np.concatenate(hashes))
+    examples, none, none_bad = [], 0, 0
+    seen, bad = (np.zeros(words.size + len(names), np.int64) for _ in range(2))
+    for r, h in zip(rows, hashes, strict=True):
+        t = np.r_[np.searchsorted(words, h), words.size + np.frombuffer(r["terms"], np.int32)].astype(np.int32)
+        seen[t] += 1
+        bad[t] += r["toxic"]
+        if t.size:
+            examples.append((r["doc_id"], r["toxic"], (t, np.frombuffer(r["counts"] + r["n"], np.int32))))
         else:
             none, none_bad = none + 1, none_bad + r["toxic"]
-    base = (none_bad + p) / (none + 1)
-    return names, Index(names, [math.log((n + 1) / (d + 1)) + 1 for _, d in terms], examples, base)
+    del rows, hashes
+    trim()
+    rate = (toxic + 0.5) / (n + 1)
+    change = np.log((bad + 4 * rate) / (seen - bad + 4 * (1 - rate))) - logit(rate)
+    return words, names, Index(None, (np.log((n + 1) / (seen + 1)) + 1) * (1 + change**2), examples, p, without=(none_bad + p) / (none + 1))
+
+
+def counts_of(reader, names: list[str], text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``names`` of the pieces in a text, ascending, and how often each occurs."""
+    return np.unique(np.array([i for _, i in reader.iter(normal(text))] if names else [], np.int64), return_counts=True)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, learn: Column | None = None, prefix: str = "", **limits) -> DataFrame:
-    """``documents`` with score, predicted (score >= 0.5), terms found, and evidence: nearest examples.
+    """``documents`` with score, predicted (score >= 0.5), pieces found as terms, and evidence: nearest examples.
 
     ``prefix`` goes before the names of these columns.
     """
-    names, index = fit(documents, labels, F.lit(True) if learn is None else learn, **limits)
+    words, names, index = fit(documents, labels, F.lit(True) if learn is None else learn, **limits)
     # As bytes with the class in them: broadcasts are pickled by reference, and executors may lack this package.
-    model = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps((machine(names), names, index)))
+    model = documents.sparkSession.sparkContext.broadcast(zlib.compress(cloudpickle.dumps((machine(names), words, names, index)), 1))
+    del index
+    trim()
     own = [f"{prefix}{c}" for c in ("score", "predicted", "terms", "evidence")]
     kept = [f for f in documents.schema.fields if f.name not in own]
-    near_type = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def work(batches):
-        reader, names, index = pickle.loads(model.value)
-        known: dict[tuple, tuple] = {}
+        reader, words, names, index = pickle.loads(zlib.decompress(model.value))
+        shown = pa.array([str(i) for i in index.ids] if index else [], pa.string())
+        toxic = pa.array(index.toxic.astype(np.int32) if index else [], pa.int32())
+
+        def query(hashes, n, pieces, m):
+            at = np.searchsorted(words, hashes)
+            known = np.flatnonzero(at < words.size)
+            known = known[words[at[known]] == hashes[known]]
+            return np.r_[at[known], words.size + pieces], np.r_[n[known], m]
+
         for batch in batches:
             trim()
-            scores, terms, evidence = [], [], []
-            for text in batch.column("text").to_pylist():
-                tf = Counter(i for _, i in reader.iter(normal(text))) if names else {}
-                key = tuple(sorted(tf.items()))
-                if key not in known:
-                    if len(known) >= 2_000:
-                        known.clear()
-                    score, near = index.score(dict(key)) if index else (0.0, [])
-                    known[key] = score, [{"doc_id": str(index.ids[i]), "similarity": s, "toxic": int(index.toxic[i])} for s, i in near]
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
-                terms.append([names[i].strip() for i, _ in key])
-            columns = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(evidence, near_type)], names=[*(f.name for f in kept), *own])
+            # Some texts at a time: what a query holds grows with its words.
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                texts = part.column("text").to_pylist()
+                found = [counts_of(reader, names, t) for t in texts]
+                terms = [[names[i].strip() for i in f[0]] for f in found]
+                queries = [query(*w, *f) for w, f in zip(words_of(texts), found, strict=True)] if index else []
+                # Texts with the same counts are searched once.
+                keys = [(t.tobytes(), n.tobytes()) for t, n in queries]
+                own_key = dict(zip(keys, queries, strict=True))
+                known = dict(zip(own_key, index.score(list(own_key.values())), strict=True)) if index else {}
+                scored = [known[k] for k in keys] if index else [(0.0, [])] * len(texts)
+                scores = [score for score, _ in scored]
+                near = [x for _, e in scored for x in e]
+                places = pa.array([i for _, i in near], pa.int64())
+                structs = pa.StructArray.from_arrays([shown.take(places), pa.array([x for x, _ in near], pa.float64()), toxic.take(places)], names=["doc_id", "similarity", "toxic"])
+                evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(e) for _, e in scored)]), pa.int32()), structs)
+                columns = [part.column(f.name) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(terms, pa.list_(pa.string())), evidence], names=[*(f.name for f in kept), *own])
 
     kinds = ("double", "int", "array<string>", "array<struct<doc_id:string,similarity:double,toxic:int>>")
     shape = ", ".join(f"`{n}` {k}" for n, k in [*((f.name, f.dataType.simpleString()) for f in kept), *zip(own, kinds, strict=True)])

@@ -75,3 +75,30 @@ def test_odd_tables(spark):
     assert len(rows) == 4 and all(math.isfinite(r.score) for r in rows)
     assert toxicity.score_toxicity(docs.limit(0), odd).count() == 0
     assert toxicity.score_toxicity(docs, odd, prefix="_x_").columns == ["doc_id", "text", "score", "_x_score", "_x_predicted", "_x_terms", "_x_evidence"]
+
+
+@pytest.mark.parametrize("rate", [0.5, 0.8])
+def test_most_examples_may_be_toxic(spark, rate):
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(400):
+        bad = rng.random() < rate
+        docs.append((i, " ".join([*rng.choices(WORDS, k=12), *(["hateful"] if bad else [])])))
+        labels.append((i, int(bad)))
+    d, y = frames(spark, docs, labels)
+    rows = toxicity.score_toxicity(d, y, toxicity.fold() != 0).join(y, "doc_id").filter(toxicity.fold() == 0).collect()
+    assert {0, 1} == {r.toxic for r in rows}
+    assert all(r.predicted == r.toxic for r in rows)
+
+
+def test_every_word_is_a_term(spark):
+    # Three toxic examples hold the word: far below any evidence of 18 nats.
+    rng = random.Random(7)
+    docs = [(i, " ".join([*(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(8)), *(["zebra"] if i < 30 and i % 10 == 0 else [])])) for i in range(200)]
+    some = " ".join(docs[55][1].split()[:3])
+    docs += [(1000, f"{some} zebra"), (1001, some), (1002, "unheard"), (1003, None)]
+    d, y = frames(spark, docs, [(i, int(i < 30)) for i in range(200)])
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(d, y).collect()}
+    assert rows[1000].terms == [] and {"0", "10", "20"} <= {e.doc_id for e in rows[1000].evidence}
+    assert rows[1000].score > 2 * rows[1001].score and "55" in {e.doc_id for e in rows[1001].evidence}
+    assert rows[1002].evidence == rows[1003].evidence == []
