@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact cosines over an inverted index of all their words.
 
 Fitting takes at most ``max_examples`` labelled documents (lowest hash of doc_id first, a documented bound;
-copies and near copies, by their smallest shingle, count once). Every word of an example is a term, in the index
+equal texts count once, by the label that most of them have, or else the lowest doc_id's). Every word of an example is a term, in the index
 by its 64-bit hash, however rare and whatever its labels, so neighbours are searched for every text that has a
 word in common with an example. Pieces of words are terms too: starts of words and inner pieces of 4 to 8
 characters, written with a space where a word begins or ends, so a piece is a plain substring of the normalised
@@ -36,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import runs, settled, shingles, texts_of, trim, word_hashes
+from rhoscope.llm.common import runs, settled, texts_of, trim, word_hashes
 from rhoscope.llm.shared import HASHED_BYTES
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -210,15 +210,10 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: in
     # At most max_examples rows: a bound that doesn't grow with the data.
     chosen = documents.select("doc_id", "text").join(F.broadcast(taken.withColumnRenamed("doc_id", "_doc")), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic"))
 
-    def keyed(batches):
-        for batch in batches:
-            offsets, data = texts_of(batch.column("text"))
-            hashes, first = word_hashes(data, offsets)
-            low = [s[0].astype(np.int64).item() if (s := shingles(hashes[first[i] : first[i + 1]], 3)).size else 0 for i in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64())], names=["doc_id", "text", "toxic", "near"])
-
     kind = documents.schema["doc_id"].dataType.simpleString()
-    sample = settled(chosen.mapInArrow(keyed, f"doc_id {kind}, text string, toxic int, near long").groupBy("near").agg(F.min_by("doc_id", F.struct("doc_id", "text")).alias("doc_id"), F.min_by("text", F.struct("doc_id", "text")).alias("text"), F.max("toxic").alias("toxic")).drop("near"))
+    bad, good = F.sum("toxic"), F.sum(1 - F.col("toxic"))
+    label = F.when(bad > good, 1).when(bad < good, 0).otherwise(F.min_by("toxic", "doc_id"))
+    sample = settled(chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), label.alias("toxic")).select("doc_id", "text", "toxic"))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
         return np.zeros(0, np.uint64), [], None

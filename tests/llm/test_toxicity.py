@@ -102,3 +102,14 @@ def test_every_word_is_a_term(spark):
     assert rows[1000].terms == [] and {"0", "10", "20"} <= {e.doc_id for e in rows[1000].evidence}
     assert rows[1000].score > 2 * rows[1001].score and "55" in {e.doc_id for e in rows[1001].evidence}
     assert rows[1002].evidence == rows[1003].evidence == []
+
+
+def test_only_equal_texts_are_one_example(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(10))
+    docs = [(i, f"{passage} {' '.join(word() for _ in range(10))}") for i in range(60)]
+    docs += [(100 + i, docs[7][1]) for i in range(2)] + [(200, docs[8][1])]
+    index = toxicity.fit(*frames(spark, docs, [(d, int(d in (100, 200) or d == 9)) for d, _ in docs]), F.lit(True))[-1]
+    assert sorted(index.ids) == list(range(60))
+    assert [i for i, y in zip(index.ids, index.toxic, strict=True) if y] == [9]
