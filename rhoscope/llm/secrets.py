@@ -7,9 +7,11 @@ taken up again, so cycles end. Every span is mapped back to code points of the o
 character by character, base64 and compressed layers to the whole token that held them.
 
 Cases: a null or empty text has no spans; texts are never cut; repeated rows are scanned apart; further
-columns stay in ``redact_secrets`` and are ignored in ``scan_secrets``. Compressed layers unpack to at most
-``max_unpacked`` bytes (a documented bound against archive bombs, 64 MB); larger ones are left unopened and
-set ``unopened``.
+columns stay in ``redact_secrets`` and are ignored in ``scan_secrets``. Invalid bytes of a layer count as
+replacement characters. Compressed layers, all their members, are read as streams of any length in blocks of
+16 MB that end where no secret or token can go on; a run of over 64 MB without such a place is scanned in blocks
+that overlap by 1 MB. ``unopened`` is set where a layer is larger than a caller's own ``max_unpacked``, or lies
+in more than 100 compressed ones, as in an archive that holds itself.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import bz2
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,19 +56,94 @@ def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
     return out
 
 
-def unpacked(raw: bytes, most: int) -> bytes | None:
-    """The content of compressed bytes, None if they aren't compressed; OverflowError if it is too large."""
-    for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor)):
-        if raw.startswith(magic):
-            try:
-                opener = make()
-                out = opener.decompress(raw, most + 1)
-            except (zlib.error, OSError, EOFError, ValueError):
-                return None
-            if len(out) > most:
-                raise OverflowError
-            return out if opener.eof else None
-    return None
+MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor))
+#: Characters that are in no secret, escape or token, at any layer.
+APART = [c.encode() for c in "\n\r\t\0,;()<>{}[]|&!?#*"]
+BLOCK, RUN, OVERLAP = 1 << 24, 1 << 26, 1 << 20
+
+
+def compressed(raw: bytes) -> bool:
+    return raw.startswith(tuple(magic for magic, _ in MAGIC))
+
+
+def inflated(raw: bytes, pieces: Iterator[bytes], most: int | None) -> Iterator:
+    """First whether the bytes could be opened at all, then their content, member after member, and as they are
+    those that follow the last member or can't be opened."""
+    total, told = 0, False
+    while compressed(raw):
+        opener = next(make for magic, make in MAGIC if raw.startswith(magic))()
+        given, tried, some = raw, [raw], False
+        try:
+            while not opener.eof:
+                out = opener.decompress(given, BLOCK)
+                # zlib hands back what it has not read, bz2 keeps it.
+                given = getattr(opener, "unconsumed_tail", b"")
+                if out:
+                    total += len(out)
+                    if most is not None and total > most:
+                        raise OverflowError
+                    if not told:
+                        told = True
+                        yield True
+                    some, tried = True, []
+                    yield out
+                elif not given and not opener.eof:
+                    given = next(pieces, b"")
+                    if not given:  # cut short
+                        break
+                    if not some:
+                        tried.append(given)
+        except (zlib.error, OSError, EOFError, ValueError):
+            tried = tried if not some else [given]
+            opener = None
+        if opener is None or not some and not opener.eof:
+            if not told:
+                yield False
+            yield from tried
+            yield from pieces
+            return
+        if not told:
+            told = True
+            yield True
+        raw = opener.unused_data if opener.eof else b""
+        while len(raw) < 3 and (more := next(pieces, b"")):
+            raw += more
+    if raw:
+        yield raw
+    yield from pieces
+
+
+def unpacked(pieces: Iterator[bytes], most: int | None, depth: int = 100) -> Iterator[bytes]:
+    """Bytes unpacked until they aren't compressed. OverflowError beyond ``most`` bytes, and beyond ``depth``
+    layers, as an archive can hold itself."""
+    first = b""
+    while len(first) < 3 and (more := next(pieces, b"")):
+        first += more
+    if not compressed(first):
+        yield first
+        yield from pieces
+        return
+    if not depth:
+        raise OverflowError
+    inner = inflated(first, pieces, most)
+    yield from unpacked(inner, most, depth - 1) if next(inner) else inner
+
+
+def contents(raw: bytes, most: int | None = None) -> Iterator[bytes]:
+    """What is in a token's bytes, unpacked, in blocks that cut no secret or token."""
+    held = b""
+    for piece in unpacked(iter([raw]), most):
+        held += piece
+        if len(held) >= BLOCK:
+            cut = max(held.rfind(c) for c in APART) + 1
+            if cut:
+                yield held[:cut]
+                held = held[cut:]
+            elif len(held) >= RUN:
+                yield held
+                held = held[-OVERLAP:]
+    if held:
+        yield held
 
 
 def as_text(raw: bytes) -> str | None:
@@ -82,8 +160,6 @@ def _escapes(text: str, pattern: re.Pattern, decode) -> tuple[str, list[tuple[in
     parts, spans, at, found = [], [], 0, False
     for m in pattern.finditer(text):
         chars = decode(m)
-        if chars is None:
-            continue
         found = True
         parts.append(text[at : m.start()])
         spans += [(i, i + 1) for i in range(at, m.start())]
@@ -98,15 +174,13 @@ def _escapes(text: str, pattern: re.Pattern, decode) -> tuple[str, list[tuple[in
     return "".join(parts), spans
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    try:
-        decoded = bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
+    decoded = bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape")
     out, at = [], m.start()
     for c in decoded:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
+        invalid = 0xDC80 <= ord(c) <= 0xDCFF
+        n = 3 if invalid else 3 * len(c.encode())
+        out.append(("\ufffd" if invalid else c, at, at + n))
         at += n
     return out
 
@@ -123,12 +197,13 @@ def _unicode(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _tokens(text: str):
-    """(bytes, start, end) of base64 tokens; if a run as a whole is none, its pieces between / + _ - are tried."""
+    """(bytes, start, end) of base64 tokens; if a run as a whole isn't plainly one, so are its pieces between / + _ -."""
     for m in BASE64.finditer(text):
         whole = _decoded(m[0])
         if whole is not None:
             yield whole, m.start(), m.end()
-            continue
+            if compressed(whole) or as_text(whole) is not None:
+                continue
         pieces = [p for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]) if p[0] != m[0]]
         for p in pieces:
             if (part := _decoded(p[0])) is not None:
@@ -136,28 +211,40 @@ def _tokens(text: str):
 
 
 def _decoded(token: str) -> bytes | None:
-    """Bytes that are a text or compressed."""
+    """A token's bytes, if it has a length that base64 can have."""
     bare = token.rstrip("=")
     if len(bare) % 4 == 1:
         return None
     try:
-        raw = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4))
+        return base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4))
     except (binascii.Error, ValueError):
         return None
-    return raw if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" or raw[:3] == b"BZh" or as_text(raw) is not None else None
 
 
-def find_secrets(text: str | None, max_unpacked: int = 1 << 26) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
-    """Base spans, all spans, and whether a layer was too large to open; spans are (start, kind, end)."""
+def find_secrets(text: str | None, max_unpacked: int | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
+    """Base spans, all spans, and whether a layer was too large or too deep to open; spans are (start, kind, end)."""
     if not text:
         return [], [], False
     raw = text.encode("utf-8", "surrogatepass")
     base = sorted(scan(text, raw))
     found, unopened = set(base), False
-    work: list[tuple[str, bytes, list[tuple[int, int]] | tuple[int, int] | None]] = [(text, raw, None)]
+    work: list[Iterator[tuple[str, bytes, list[tuple[int, int]] | tuple[int, int] | None]]] = [iter([(text, raw, None)])]
     seen: set[tuple] = set()
+
+    def layers(content: bytes, span: tuple[int, int]):
+        nonlocal unopened
+        try:
+            for block in contents(content, max_unpacked):
+                yield block.decode(errors="replace"), block, span
+        except OverflowError:
+            unopened = True
+
     while work:
-        layer, raw, spans = work.pop()
+        # One block of a stream at a time, with all that it holds.
+        if (item := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, raw, spans = item
         whole = isinstance(spans, tuple)
         place = (lambda a, b, s=spans: s) if whole else (lambda a, b: (a, b)) if spans is None else (lambda a, b, s=spans: (s[a][0], s[b - 1][1]))
         key = (hashlib.blake2b(raw, digest_size=16).digest(), spans if whole else None) if spans is not None else None
@@ -171,17 +258,9 @@ def find_secrets(text: str | None, max_unpacked: int = 1 << 26) -> tuple[list[tu
         for mark, pattern, decode in ((b"%", PERCENT, _percent), (b"\\", UNICODE, _unicode)):
             if mark in raw and (opened := _escapes(layer, pattern, decode)):
                 inner = spans if whole else [place(a, b) for a, b in opened[1]]
-                work.append((opened[0], opened[0].encode("utf-8", "surrogatepass"), inner))
+                work.append(iter([(opened[0], opened[0].encode("utf-8", "surrogatepass"), inner)]))
         if CODE_RUN in raw.translate(CODE_CLASS):
-            for content, a, b in _tokens(layer):
-                try:
-                    while (inner := unpacked(content, max_unpacked)) is not None:
-                        content = inner
-                except OverflowError:
-                    unopened = True
-                    continue
-                if (opened := as_text(content)) is not None:
-                    work.append((opened, content, place(a, b)))
+            work += [layers(content, place(a, b)) for content, a, b in _tokens(layer)]
     return base, sorted(found), unopened
 
 
@@ -193,7 +272,7 @@ def _text_column(batch: pa.RecordBatch) -> list[str | None]:
     return batch.column("text").to_pylist()
 
 
-def scan_secrets(df: DataFrame, max_unpacked: int = 1 << 26) -> DataFrame:
+def scan_secrets(df: DataFrame, max_unpacked: int | None = None) -> DataFrame:
     """(doc_id, base, spans, unopened): spans as arrays of (kind, start, end), base the plain text's own."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     listed = lambda found: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found]
@@ -207,7 +286,7 @@ def scan_secrets(df: DataFrame, max_unpacked: int = 1 << 26) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, base {kind}, spans {kind}, unopened boolean")
 
 
-def redacted(text: str | None, max_unpacked: int = 1 << 26) -> str | None:
+def redacted(text: str | None, max_unpacked: int | None = None) -> str | None:
     """The text with every secret, or the token that holds it, replaced by its kind; overlapping spans are one."""
     found = find_secrets(text, max_unpacked)[1]
     if not found:
@@ -224,7 +303,7 @@ def redacted(text: str | None, max_unpacked: int = 1 << 26) -> str | None:
     return "".join(parts) + text[at:]
 
 
-def redact_secrets(df: DataFrame, max_unpacked: int = 1 << 26) -> DataFrame:
+def redact_secrets(df: DataFrame, max_unpacked: int | None = None) -> DataFrame:
     """The same rows and columns; ``text`` without secrets, ``n_chars``, if there, to match."""
     schema = df.schema
 

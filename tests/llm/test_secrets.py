@@ -59,6 +59,23 @@ def test_cycles_end_and_broken_layers_are_left():
     assert secrets.find_secrets(bomb, max_unpacked=1000)[2] is True and secrets.find_secrets(bomb)[2] is False
 
 
+def test_large_layers_all_members_and_invalid_bytes():
+    large = b"some words of a line\n" * (70 << 20 >> 4) + f"it is {HEX}\n".encode() + b"\0" * (1 << 20)
+    assert len(large) > 1 << 26
+    for data in (gzip.compress(large, 1), gzip.compress(gzip.compress(large, 1), 1)):
+        token = base64.b64encode(data).decode()
+        assert ("hex", token) in found(f"blob: {token}.") and secrets.find_secrets(token)[2] is False
+    for pack in (gzip.compress, zlib.compress, bz2.compress):
+        # Words of their own, so that nothing but the last member has a secret.
+        token = base64.b64encode(pack(b"first member\n") + pack(b"") + pack(f"it is {HEX[:12]}".encode()) + pack(HEX[12:].encode())).decode()
+        assert found(f"blob: {token}.") == [("hex", token)]
+    for odd in (b"\x01", b"\xe9", b"\0"):
+        token = base64.b64encode(b"caf" + odd + b" " + SECRET.encode()).decode()
+        assert ("assign", token) in found(f"see {token}.")
+    run = "".join(f"%{b:02X}" for b in "caf\u00e9 \u20ac ".encode("latin-1", "ignore") + "\u20ac password=hunter2hunter2".encode())
+    assert found(f"x {run} y") == [("assign", run[-3 * len("password=hunter2hunter2") :])]
+
+
 def test_rows(spark):
     rows = [(1, SECRET), (2, None), (3, ""), (1, SECRET), (4, "word " * 200_000 + SECRET), (None, f"x {HEX}")]
     df = spark.createDataFrame([(d, t, "b", 1) for d, t in rows], "doc_id long, text string, base string, spans int")
