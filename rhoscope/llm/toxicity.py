@@ -76,14 +76,14 @@ class Index:
     """
 
     #: As many of the commonest terms, at most, are rows of a matrix.
-    DENSE = 512
+    DENSE = 256
 
     def __init__(self, terms, idf, examples: list[tuple[object, int, object]], base: float, k: int = 15, block: int = 64, prior: float = 1.0, without: float | None = None):
         self.idf, self.base, self.k, self.block, self.prior = np.array(idf, float), base, k, block, prior
         self.without = base if without is None else without
         self.curve = (1.0, 0.0)
         rows = [(name, toxic, *self.arrays(tf)) for name, toxic, tf in examples]
-        rows.sort(key=lambda r: (str(r[0]), r[1], r[2].tobytes(), r[3].tobytes()))
+        rows.sort(key=lambda r: (str(r[0]), r[1], zlib.crc32(r[2]), zlib.crc32(r[3])))
         self.ids, self.toxic = [r[0] for r in rows], np.array([r[1] for r in rows], float)
         terms = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in rows)])
         counts = np.concatenate([np.zeros(0, np.int32), *(r[3] for r in rows)])
@@ -103,7 +103,9 @@ class Index:
     def weigh(self) -> None:
         """What follows from the counts: weights in the lists, and the matrix."""
         sizes = np.diff(self.edges)
-        self.weight = (1 + np.log(self.counts.astype(float))) * np.repeat(self.idf, sizes)
+        self.weight = np.log(self.counts, dtype=float)
+        self.weight += 1
+        self.weight *= np.repeat(self.idf, sizes)
         self.weight /= np.sqrt(np.bincount(self.at, self.weight * self.weight, len(self.ids)))[self.at]
         common = np.argsort(-sizes, kind="stable")[: self.DENSE]
         common = np.sort(common[sizes[common] > len(self.ids) // 32])
@@ -204,8 +206,8 @@ def machine(terms: list[str]):
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: int = 12_000, max_terms: int = 1500, min_evidence: float = 18.0) -> tuple[np.ndarray, list[str], Index | None]:
-    """Learn from labelled documents for which ``learn`` (a Column on doc_id) holds: words, pieces, and the index of both."""
+def fitted(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: int = 12_000, max_terms: int = 1500, min_evidence: float = 18.0) -> bytes:
+    """What ``fit`` gives, packed. Learned from labelled documents for which ``learn`` (a Column on doc_id) holds."""
     taken = labels.filter("doc_id is not null and toxic is not null").filter(learn).groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     # At most max_examples rows: a bound that doesn't grow with the data.
     chosen = documents.select("doc_id", "text").join(F.broadcast(taken.withColumnRenamed("doc_id", "_doc")), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic"))
@@ -216,7 +218,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: in
     sample = settled(chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), label.alias("toxic")).select("doc_id", "text", "toxic"))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
-        return np.zeros(0, np.uint64), [], None
+        return zlib.compress(pickle.dumps((np.zeros(0, np.uint64), [], None)))
 
     def counted(batches):
         held: dict[str, list[int]] = {}
@@ -259,24 +261,36 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array([w[i] for w in words], pa.binary()) for i in range(2)), *(pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in range(2))], names=["doc_id", "toxic", "words", "counts", "terms", "n"])
         trim()
 
-    rows = sample.mapInArrow(vectors, f"doc_id {kind}, toxic int, words binary, counts binary, terms binary, n binary").collect()
-    hashes = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    words = np.unique(np.concatenate(hashes))
-    examples, none, none_bad = [], 0, 0
-    seen, bad = (np.zeros(words.size + len(names), np.int64) for _ in range(2))
-    for r, h in zip(rows, hashes, strict=True):
-        t = np.r_[np.searchsorted(words, h), words.size + np.frombuffer(r["terms"], np.int32)].astype(np.int32)
-        seen[t] += 1
-        bad[t] += r["toxic"]
-        if t.size:
-            examples.append((r["doc_id"], r["toxic"], (t, np.frombuffer(r["counts"] + r["n"], np.int32))))
-        else:
-            none, none_bad = none + 1, none_bad + r["toxic"]
-    del rows, hashes
-    trim()
-    rate = (toxic + 0.5) / (n + 1)
-    change = np.log((bad + 4 * rate) / (seen - bad + 4 * (1 - rate))) - logit(rate)
-    return words, names, Index(None, (np.log((n + 1) / (seen + 1)) + 1) * (1 + change**2), examples, p, without=(none_bad + p) / (none + 1))
+    def built(batches):
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        hashes = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        words = np.unique(np.concatenate(hashes))
+        examples, none, none_bad = [], 0, 0
+        seen, bad = (np.zeros(words.size + len(names), np.int64) for _ in range(2))
+        for r, h in zip(rows, hashes, strict=True):
+            t = np.r_[np.searchsorted(words, h), words.size + np.frombuffer(r["terms"], np.int32)].astype(np.int32)
+            seen[t] += 1
+            bad[t] += r["toxic"]
+            if t.size:
+                examples.append((r["doc_id"], r["toxic"], (t, np.frombuffer(r["counts"] + r["n"], np.int32))))
+            else:
+                none, none_bad = none + 1, none_bad + r["toxic"]
+        rate = (toxic + 0.5) / (n + 1)
+        change = np.log((bad + 4 * rate) / (seen - bad + 4 * (1 - rate))) - logit(rate)
+        index = Index(None, (np.log((n + 1) / (seen + 1)) + 1) * (1 + change**2), examples, p, without=(none_bad + p) / (none + 1))
+        # With the class in them, as executors may lack this package.
+        model = zlib.compress(cloudpickle.dumps((words, names, index)), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+        trim()
+
+    # At most max_examples rows go to one executor, so that the driver holds the finished model alone.
+    found = settled(sample.mapInArrow(vectors, f"doc_id {kind}, toxic int, words binary, counts binary, terms binary, n binary"))
+    return bytes(found.repartition(1).mapInArrow(built, "model binary").first()[0])
+
+
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, **limits) -> tuple[np.ndarray, list[str], Index | None]:
+    """Hashes of words, pieces, and the index of both."""
+    return pickle.loads(zlib.decompress(fitted(documents, labels, learn, **limits)))
 
 
 def counts_of(reader, names: list[str], text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -289,16 +303,15 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, learn: Column | None
 
     ``prefix`` goes before the names of these columns.
     """
-    words, names, index = fit(documents, labels, F.lit(True) if learn is None else learn, **limits)
-    # As bytes with the class in them: broadcasts are pickled by reference, and executors may lack this package.
-    model = documents.sparkSession.sparkContext.broadcast(zlib.compress(cloudpickle.dumps((machine(names), words, names, index)), 1))
-    del index
-    trim()
+    packed = fitted(documents, labels, F.lit(True) if learn is None else learn, **limits)
+    model = documents.sparkSession.sparkContext.broadcast(packed)
+    del packed
     own = [f"{prefix}{c}" for c in ("score", "predicted", "terms", "evidence")]
     kept = [f for f in documents.schema.fields if f.name not in own]
 
     def work(batches):
-        reader, words, names, index = pickle.loads(zlib.decompress(model.value))
+        words, names, index = pickle.loads(zlib.decompress(model.value))
+        reader = machine(names)
         shown = pa.array([str(i) for i in index.ids] if index else [], pa.string())
         toxic = pa.array(index.toxic.astype(np.int32) if index else [], pa.int32())
 
