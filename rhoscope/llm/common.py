@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import gc
+import re
 import tempfile
-import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,25 +143,52 @@ def trim() -> None:
         pass
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure there is a checkpoint folder; one that the cluster names is never replaced."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one that the cluster names is never replaced.
+
+    Without one, a local session gets a folder of its own, which goes when the session ends; on a cluster that is an
+    error, as a folder of one machine's is not seen by others.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rhoscope-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rhoscope-"))
+    return context.getCheckpointDir()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder: later steps don't repeat earlier work, nor do lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def _path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+#: Spark removes what an action has shuffled as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of what no frame refers to any more.
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, as a table in the shared folder: later steps don't repeat earlier work, nor do lost executors.
 
-    Its cleaner learns of that from the JVM's garbage collector, a second time for what the first set free.
+    The shuffles that made them are removed at once; the table goes with ``discard``, or when the driver ends.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/rhoscope"
+    fs, root = _path(spark, folder)
+    fs.deleteOnExit(root)
+    before, path = spark.conf.get(CLEANUP, "false"), f"{folder}/{uuid.uuid4()}"
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``settled`` has written and nothing reads any more."""
+    for df in frames:
+        fs, path = _path(df.sparkSession, df._settled_at)
+        fs.delete(path, True)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import settled
+from rhoscope.llm.common import discard, settled
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -54,9 +54,12 @@ def components(edges: DataFrame) -> DataFrame:
         down = settled(down)
         least = settled(down.groupBy("a").agg(F.min("b").alias("m")))
         rest = down.join(least.withColumnRenamed("a", "_u"), F.col("a") == F.col("_u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        own = settled(least.withColumnRenamed("m", "b").unionAll(rest).distinct())
+        before, own = own, settled(least.withColumnRenamed("m", "b").unionAll(rest).distinct())
+        discard(before, low, down, least)
         now = own.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             roots = own.select(F.col("b").alias("a")).distinct()
-            return own.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select(F.col("a").alias("node"), F.col("a").alias("component")))
+            out = settled(own.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select(F.col("a").alias("node"), F.col("a").alias("component"))))
+            discard(own)
+            return out
         state = now

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import BASE, U, mix, release, settled, shingles, word_hashes
+from rhoscope.llm.common import BASE, U, discard, mix, settled, shingles, word_hashes
 from rhoscope.llm.graph import components
 from rhoscope.llm.shared import shared_keys, text_classes
 
@@ -140,9 +140,7 @@ def indexed_texts(documents: DataFrame, total_bytes: int, size: int, percent: in
 
     fields = [("n", pa.int64(), "long"), ("e", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("bits", pa.list_(pa.int64()), "array<long>"), ("entries", pa.list_(pa.int64()), "array<long>"), ("places", pa.list_(pa.int32()), "array<int>")]
     found = settled(shared_keys(documents, total_bytes // 6 + 1, keys_of, finish, fields, **sizes_of_work))
-    spark = documents.sparkSession
-    release(spark)
-    sizes = found.groupBy("tid").agg(F.max("n").alias("n"))
+    sizes = settled(found.groupBy("tid").agg(F.max("n").alias("n")))
     # A text may come from several blocks; its entries are the same each time.
     entries = found.filter("entries is not null").select("tid", "n", "e", *(F.col("bits")[i].alias(p) for i, p in enumerate(PARITIES)), F.explode(F.arrays_zip("entries", "places")).alias("z"))
     exploded = entries.select(F.col("z.entries").alias("entry"), "tid", "n", "e", F.col("z.places").alias("r"), *PARITIES)
@@ -150,8 +148,7 @@ def indexed_texts(documents: DataFrame, total_bytes: int, size: int, percent: in
     index = settled(exploded.join(several, F.col("entry") == F.col("_entry")).drop("_entry").dropDuplicates(["entry", "tid"]))
     used = index.select(F.col("tid").alias("_tid")).distinct()
     sets = settled(found.filter("keys is not null").select("tid", "n", "keys").join(used, F.col("tid") == F.col("_tid"), "left_semi").dropDuplicates(["tid"]))
-    release(spark)
-
+    discard(found)
     return sizes, index, sets
 
 
@@ -165,23 +162,23 @@ def _second(c: str) -> Column:
 
 def linked_texts(documents: DataFrame, total_bytes: int, size: int, percent: int, frequent: int, **sizes_of_work: int) -> tuple[DataFrame, DataFrame]:
     """(tid, n) of every text with words, and (tid, component) of those that link with another text."""
-    spark = documents.sparkSession
     sizes, index, sets = indexed_texts(documents, total_bytes, size, percent, frequent, **sizes_of_work)
     central = index.groupBy("entry").agg(F.max_by(F.struct("entry", "tid", *ABOUT), F.struct(F.col("e") / F.col("n"), "n", "tid")).alias("c")).select("c.*").select(*map(_second, ("entry", "tid", *ABOUT)))
     stars = index.join(central, (F.col("entry") == F.col("entry2")) & (F.col("tid") != F.col("tid2")) & _can_link(percent))
-    links = settled(_verified(settled(stars.select(*_ordered("tid", "tid2")).distinct()), sets, percent))
-    found_so_far = settled(components(links))
-    release(spark)
-
+    pairs = settled(stars.select(*_ordered("tid", "tid2")).distinct())
+    links = settled(_verified(pairs, sets, percent))
+    found_so_far = components(links)
+    discard(pairs)
     placed = index.join(found_so_far, F.col("tid") == F.col("node"), "left").select("entry", "tid", *ABOUT, F.coalesce("component", "tid").alias("component"))
     mixed = placed.groupBy("entry", "component").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select(F.col("entry").alias("_entry"), "main")
     open_ = settled(placed.join(mixed, F.col("entry") == F.col("_entry")).drop("_entry"))
     others = open_.select(*map(_second, ("entry", "tid", *ABOUT, "component")))
     rest = open_.filter("component <> main").join(others, (F.col("entry") == F.col("entry2")) & (F.col("component") != F.col("component2")) & _can_link(percent))
-    more = settled(_verified(settled(rest.select(*_ordered("tid", "tid2")).distinct()), sets, percent))
-    release(spark)
+    pairs = settled(rest.select(*_ordered("tid", "tid2")).distinct())
+    more = settled(_verified(pairs, sets, percent))
+    discard(pairs, open_, index, sets)
     joined = components(links.unionAll(more)) if more.take(1) else found_so_far
-    return sizes, settled(joined).select(F.col("node").alias("tid"), "component")
+    return sizes, joined.select(F.col("node").alias("tid"), "component")
 
 
 def similar_pairs(documents: DataFrame, size: int = 5, percent: int = 80, frequent: int = 64, **sizes_of_work: int) -> tuple[DataFrame, DataFrame]:
@@ -198,10 +195,12 @@ def similar_pairs(documents: DataFrame, size: int = 5, percent: int = 80, freque
 
 
 def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, frequent: int = 64, **sizes_of_work: int) -> DataFrame:
-    """(doc_id, tid, n_shingles, component_id) of every row; links are Jaccard similarities of ``percent`` or more.
+    """(doc_id, tid, n_shingles, component_id) of every row; links are Jaccard similarities of ``percent`` (50 to 100) or more.
 
     ``sizes_of_work``: slice_bytes and part_keys of shared_keys, for executors with more memory.
     """
+    if not 50 <= percent <= 100:  # the levels of two partners must overlap
+        raise ValueError("percent must be from 50 to 100")
     classes = text_classes(documents.select("doc_id", "text"))
     total = classes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     sizes, linked = linked_texts(documents.select("text"), total, size, percent, frequent, **sizes_of_work)

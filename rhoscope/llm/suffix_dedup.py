@@ -16,7 +16,7 @@ windows, and each group its smallest doc_id. Exact copies of a text are one text
 lose every byte that a window covers.
 
 Cases: a null text is empty; texts shorter than ``width`` lose nothing; a null doc_id is larger than all others
-(and rows without one are copies of each other); repeated rows with one doc_id keep the same bytes, as no
+(and rows without one are copies of each other; doc_id must be a whole number that fits 64 bits); repeated rows with one doc_id keep the same bytes, as no
 document is smaller than itself. Empty tables give empty results; further columns are ignored.
 """
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import BYTE_VALUES, U, mix, pack, prefix_hashes, release, runs, settled, span_hashes, texts_of, trim, unpack
+from rhoscope.llm.common import BYTE_VALUES, U, discard, mix, pack, prefix_hashes, runs, settled, span_hashes, texts_of, trim, unpack
 from rhoscope.llm.shared import KEY_BITS, distinct_texts, planes, shared_keys, spread, text_classes, unplanes
 
 GRAM = 16
@@ -193,14 +193,6 @@ def smallest_owners(contents: bytes, lengths: np.ndarray, owners: np.ndarray, wi
     return out, first
 
 
-def covered(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes that sorted windows cover."""
-    if not starts.size:
-        return starts, starts
-    first = np.flatnonzero(np.r_[True, np.diff(starts) > width])
-    return starts[first], starts[np.r_[first[1:] - 1, starts.size - 1]] + width
-
-
 def squeezed(raw: bytes) -> bytes:
     """Text and places travel in zstd, which halves what Spark's own codec leaves of them."""
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
@@ -224,7 +216,6 @@ def _keys(width: int):
 
 def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: int) -> DataFrame:
     """(tid, starts, ends): packed, merged spans of bytes that an earlier text has as well."""
-    spark = documents.sparkSession
     total = classes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 
     def finish(n, keys, counts):
@@ -235,7 +226,6 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
     found = shared_keys(documents.select("text"), total // 17 + 1, _keys(width), finish, fields).filter("keys is not null")
     lows = classes.groupBy(F.col("tid").alias("_l")).agg(F.min("doc_id").alias("low"))
     found = settled(found.groupBy("tid").agg(*(F.first(c).alias(c) for c in ("keys", "often", "e"))).join(lows, F.col("tid") == F.col("_l")).select(F.col("tid").alias("_t"), "keys", "often", "e", F.col("low").cast("long").alias("low")))
-    release(spark)
     parts = max(1, -(-(found.agg(F.coalesce(F.sum("e"), F.lit(0))).first()[0] * 70) // PART_BYTES))
 
     def emit(batches):
@@ -288,7 +278,9 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
     binary = "lows binary, lengths binary, contents binary, content binary, doc binary, place binary, tids binary"
     matched = placed.mapInArrow(emit, f"part int, block long, {binary}").groupBy("part").applyInArrow(match, "block long, spans binary, tids binary")
     spans = matched.groupBy("block").applyInArrow(gather, "tid binary, starts binary, ends binary")
-    return settled(spans.groupBy("tid").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")))
+    out = settled(spans.groupBy("tid").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")))
+    discard(found)
+    return out
 
 
 def _dealt(raw, offsets, keys, often, lows, width, parts):
@@ -409,7 +401,6 @@ def _results(documents: DataFrame, width: int, hot: int, whole: bool) -> DataFra
     rows = documents.select("doc_id", "text")
     classes = text_classes(rows)
     spans = repeated_spans(rows, classes, width, hot).select(F.col("tid").alias("_s"), "starts", "ends")
-    release(documents.sparkSession)
 
     def work(batches):
         for batch in batches:
