@@ -1,14 +1,16 @@
-"""Benchmark decontamination with one Aho-Corasick automaton.
+"""Benchmark decontamination with one Aho-Corasick automaton, whatever the size of the benchmark.
 
-Benchmark texts and documents are normalised alike: A-Z lower-cased, everything but words replaced by one
-space. Every window of ``window`` words of an item (an item of fewer words is one window) is a pattern with a
-space on both sides. A document is scanned once; matches are mapped to word numbers, and those, for
-documents with matches only, to code points of the original text.
+Benchmark texts and documents are normalised alike: A-Z lower-cased, all but words left out. A word of the
+benchmark becomes its number in as many digits as the largest needs, each place with digits of its own, and a word
+that it lacks as many other characters, so a document becomes a short line that is scanned once. Every window of ``window`` words of an item
+has, whole within it, one of the item's runs of (window + 1) / 2 words that start at multiples of that length; the
+automaton holds these runs, so it has a few states per word of the benchmark. Where a run is met, the windows of
+the document around it are looked up among the benchmark's windows, by hash and then character by character. An
+item of fewer words than a window is a window of its own. Hits are numbers of words; those of documents that have
+any are mapped to code points of the original text.
 
-No rows are shuffled: the automaton goes to the executors. Its size is checked: benchmark texts are read in
-chunks of at most ``max_chars`` characters (windows start at every word, so a character makes some 15 states).
-With more than one chunk the documents pass one automaton after the other, hits carried along and written to
-the shared folder between, so memory stays bounded.
+No rows are shuffled: the automaton goes to the executors, some 250 bytes per word of the benchmark. A benchmark of
+over ``most_chars`` characters is refused, as the automaton must fit a worker; nothing is left out or cut.
 
 Cases: a null text or one without words has no words, no hits and isn't contaminated; items without words
 have no windows; items with one id count once; a null item_id counts as the empty string; repeated documents
@@ -18,56 +20,104 @@ are scanned apart; an empty benchmark gives no hits; further columns are ignored
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import settled
-
 #: Bytes of words stay (A-Z lower-cased, 0-9, a-z, all of non-ASCII characters), others become spaces.
 NORMAL = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Few digits, as a state's arcs are searched one by one.
+DIGITS = 32
 
 
 def normal_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-def windows(words: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
-    if words:
-        for i in range(max(1, len(words) - size + 1)):
-            yield tuple(words[i : i + size])
-
-
-def automaton(items: list[tuple[str, str]], size: int):
-    """Patterns are kept as latin-1 strings of UTF-8 bytes; values are (ids, number of words)."""
-    import ahocorasick
-
-    patterns: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        for w in windows(normal_words(text), size):
-            patterns.setdefault(w, set()).add(item)
-    if not patterns:
-        return None
-    out = ahocorasick.Automaton()
-    for w, ids in patterns.items():
-        out.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), (tuple(sorted(ids)), len(w)))
-    out.make_automaton()
-    return out
-
-
-def scan(words: list[bytes], machine) -> tuple[np.ndarray, set[str]]:
-    """Word numbers [start, end) of the matches, and the ids of their items."""
-    line = b" " + b" ".join(words) + b" "
-    found = list(machine.iter(line.decode("latin-1")))
-    if not found:
-        return np.zeros((0, 2), np.int64), set()
-    places = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    ends = np.searchsorted(places, [e for e, _ in found])
-    return np.stack([ends - [n for _, (_, n) in found], ends], 1), {i for _, (ids, _) in found for i in ids}
+def name_of(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode())
+
+
+class Matcher:
+    """The automaton, and the benchmark's windows that it leads to."""
+
+    def __init__(self, items: list[tuple[str, str]], size: int):
+        import ahocorasick
+
+        self.size, self.run, self.ids = size, (size + 1) // 2, sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.ids)}
+        texts = [(number[item], words) for item, text in items if (words := normal_words(text))]
+        known = dict.fromkeys(w for _, words in texts for w in words)
+        self.wide = 1
+        while DIGITS**self.wide < len(known):
+            self.wide += 1
+        self.signs = {w: "".join(chr(1 + k * DIGITS + i // DIGITS**k % DIGITS) for k in range(self.wide)) for i, w in enumerate(known)}
+        #: Of a word that the benchmark lacks.
+        self.other = "\0" * self.wide
+        lines = [(i, self.line(words)) for i, words in texts]
+        self.book = "".join(line for _, line in lines)
+        # Lengths in words of what to look up around a pattern; 0 stands for the windows around a run.
+        patterns: dict[str, set[int]] = {}
+        names, places, lengths, owners, at = [], [], [], [], 0
+        for i, line in lines:
+            n = len(line) // self.wide
+            if n < size:
+                patterns.setdefault(line, set()).add(n)
+            for k in range(0, n - self.run + 1 if n >= size else 0, self.run):
+                patterns.setdefault(self.part(line, k, self.run), set()).add(0)
+            for k in range(max(1, n - size + 1)):
+                names.append(name_of(self.part(line, k, min(n, size))))
+                places.append(at + k * self.wide)
+                lengths.append(min(n, size))
+                owners.append(i)
+            at += len(line)
+        names = np.array(names, np.uint64)
+        order = np.argsort(names, kind="stable")
+        self.names, first = np.unique(names[order], return_index=True)
+        self.places, self.lengths = np.array(places, np.int64)[order][first], np.array(lengths, np.int32)[order][first]
+        self.owners, self.edges = np.array(owners, np.int32)[order], np.r_[first, names.size]
+        self.machine = ahocorasick.Automaton()
+        for p, kinds in patterns.items():
+            self.machine.add_word(p, tuple(sorted(kinds)))
+        if patterns:
+            self.machine.make_automaton()
+
+    def line(self, words: list[bytes]) -> str:
+        return "".join(map(self.signs.get, words, repeat(self.other)))
+
+    def part(self, line: str, start: int, n: int) -> str:
+        return line[start * self.wide : (start + n) * self.wide]
+
+    def owners_of(self, window: str) -> np.ndarray:
+        """Numbers of the items that have the window, an item once for each time it has it."""
+        name = name_of(window)
+        i = int(np.searchsorted(self.names, np.uint64(name)))
+        if i == self.names.size or int(self.names[i]) != name or self.part(self.book, self.places[i] // self.wide, self.lengths[i]) != window:
+            return self.owners[:0]
+        return self.owners[self.edges[i] : self.edges[i + 1]]
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Word numbers [start, end) of the matches, and the ids of their items."""
+        spans, found, tried = [], set(), set()
+        if len(self.machine):
+            line = self.line(words)
+            for end, kinds in self.machine.iter(line):
+                end = (end + 1) // self.wide
+                for n in kinds:
+                    around = [(end - n, n)] if n else [(s, self.size) for s in range(max(0, end - self.size), min(end - self.run, len(words) - self.size) + 1)]
+                    for window in around:
+                        if window not in tried:
+                            tried.add(window)
+                            owners = self.owners_of(self.part(line, *window))
+                            if owners.size:
+                                spans.append((window[0], sum(window)))
+                                found.update(owners.tolist())
+        return np.array(spans, np.int64).reshape(-1, 2), {self.ids[i] for i in found}
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -80,72 +130,46 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], np.r_[reach[first[1:] - 1], reach[-1]]], 1)
 
 
-def _chunks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
-    items, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text is not null").orderBy("item", "text")
-    for item, text in rows.toLocalIterator():
-        if items and size + len(text) > most:
-            yield items
-            items, size = [], 0
-        items.append((item, text))
-        size += len(text)
-    if items:
-        yield items
+def benchmark_items(benchmark: DataFrame, most_chars: int) -> list[tuple[str, str]]:
+    """All (item, text), if they aren't too many for one automaton."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > most_chars:
+        raise ValueError(f"the benchmark has {size} characters, more than the {most_chars} of one automaton")
+    return sorted((r["item"], r["text"]) for r in rows.distinct().toLocalIterator())
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, max_chars: int = 150_000, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """Columns ``keep`` of every document, n_words, n_hit, items (ids, sorted) and spans of hit words in the text.
+def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 13, most_chars: int = 50_000_000, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of every document, n_words, n_hit, longest (run of hit words), items (ids, sorted) and spans
+    of hit words in the text.
 
-    ``prefix`` goes before the names of the last four; of ``keep``, columns of the same names are left out.
+    ``prefix`` goes before the names of the last five; of ``keep``, columns of the same names are left out.
     """
-    own = [f"{prefix}{c}" for c in ("n_words", "n_hit", "items", "spans")]
-    keep = tuple(c for c in keep if c not in (*own, "_hits", "_items"))
-    context, columns = df.sparkSession.sparkContext, list(dict.fromkeys([*keep, "text"]))
-    state = df.select(*(f"`{c}`" for c in columns), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
-    shape = state.schema
-    scans = []
-    for items in _chunks(benchmark, max_chars):
-        machine = automaton(items, window)
-        if machine is None:
-            continue
-        if scans:  # one automaton at a time
-            state = settled(state.mapInArrow(scans.pop(), shape))
-        scans.append(_scanner(context.broadcast(machine)))
-
-    fields = [f for f in shape.fields if f.name in keep]
+    own = [f"{prefix}{c}" for c in ("n_words", "n_hit", "longest", "items", "spans")]
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in own)
+    columns = list(dict.fromkeys([*keep, "text"]))
+    matcher = df.sparkSession.sparkContext.broadcast(Matcher(benchmark_items(benchmark, most_chars), window))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def finish(batches):
+    def work(batches):
         for batch in batches:
-            n_words, n_hit, ids, places = [], [], [], []
-            for text, hits, found in zip(*(batch.column(c).to_pylist() for c in ("text", "_hits", "_items")), strict=True):
-                n_words.append(len(normal_words(text)) if text else 0)
-                spans = merged(np.frombuffer(hits, np.int64).reshape(-1, 2)) if hits else np.zeros((0, 2), np.int64)
-                n_hit.append(int((spans[:, 1] - spans[:, 0]).sum()))
-                ids.append(found or [])
+            n_words, n_hit, longest, ids, places = [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                words = normal_words(text) if text else []
+                spans, found = matcher.value.scan(words) if words else (np.zeros((0, 2), np.int64), set())
+                spans = merged(spans)
+                sizes = spans[:, 1] - spans[:, 0]
+                n_words.append(len(words))
+                n_hit.append(int(sizes.sum()))
+                longest.append(int(sizes.max(initial=0)))
+                ids.append(sorted(found))
                 at = [m.span() for m in WORD.finditer(text)] if len(spans) else []
                 places.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in spans.tolist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(places, span)], names=[*keep, *own])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in (n_words, n_hit, longest)), pa.array(ids, pa.list_(pa.string())), pa.array(places, span)], names=[*keep, *own])
 
-    # The last scan and the end are one step, so that one worker does both.
-    whole = (lambda batches, scan=scans[0]: finish(scan(batches))) if scans else finish
-    kinds = ("long", "long", "array<string>", "array<struct<start:int,end:int>>")
-    return state.mapInArrow(whole, ", ".join(f"`{n}` {k}" for n, k in [*((f.name, f.dataType.simpleString()) for f in fields), *zip(own, kinds, strict=True)]))
-
-
-def _scanner(machine):
-    def work(batches):
-        for batch in batches:
-            hits, ids = [], []
-            for text, old, found in zip(*(batch.column(c).to_pylist() for c in ("text", "_hits", "_items")), strict=True):
-                spans, new = scan(normal_words(text), machine.value) if text else (np.zeros((0, 2), np.int64), set())
-                hits.append(((old or b"") + merged(spans).astype(np.int64).tobytes()) or None)
-                ids.append(sorted({*(found or ()), *new}) or None)
-            names = batch.schema.names
-            columns = dict(zip(names, batch.columns, strict=True)) | {"_hits": pa.array(hits, pa.binary()), "_items": pa.array(ids, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-    return work
+    kinds = ("long", "long", "long", "array<string>", "array<struct<start:int,end:int>>")
+    fields = [(c, df.schema[c].dataType.simpleString()) for c in keep]
+    return df.select(*(f"`{c}`" for c in columns)).mapInArrow(work, ", ".join(f"`{n}` {k}" for n, k in [*fields, *zip(own, kinds, strict=True)]))
 
 
 def is_contaminated(prefix: str = "") -> Column:
@@ -154,6 +178,11 @@ def is_contaminated(prefix: str = "") -> Column:
     return (hit > 0) & (20 * hit >= F.col(f"{prefix}n_words"))
 
 
+def has_passage(window: int = 13, prefix: str = "") -> Column:
+    """A whole window of the benchmark, however long the document, or a twentieth of its words."""
+    return (F.col(f"{prefix}longest") >= window) | is_contaminated(prefix)
+
+
 #: The op7 digest in DuckDB.
 DECONTAMINATION_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row_, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),

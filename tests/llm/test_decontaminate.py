@@ -31,12 +31,13 @@ def data(seed):
     return items, docs
 
 
-@pytest.mark.parametrize("max_chars", [2_000_000, 30])
-def test_hits_are_those_of_all_windows(spark, max_chars):
+@pytest.mark.parametrize("digits", [32, 2])
+def test_hits_are_those_of_all_windows(spark, digits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "DIGITS", digits)
     items, docs = data(1)
     df = spark.createDataFrame([(d, t, 7, "s") for d, t in docs], "doc_id long, text string, n_words int, spans string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.find_contamination(df, bench, window=4, max_chars=max_chars).collect())
+    got = sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.find_contamination(df, bench, window=4).collect())
     assert got == sorted((d, *plain(t, items, 4)) for d, t in docs)
 
 
@@ -54,3 +55,35 @@ def test_odd_tables(spark):
     assert decontaminate.find_contamination(docs.limit(0), none).count() == 0
     unnamed = spark.createDataFrame([(None, "a b")], "item_id long, text string")
     assert decontaminate.find_contamination(docs, unnamed).filter("n_hit > 0").first()["items"] == [""]
+
+
+def test_a_large_benchmark_is_one_automaton_and_a_larger_one_refused(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(5000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(5, 60)))) for i in range(4000)]
+    matcher = decontaminate.Matcher([(str(i), t) for i, t in items], 13)
+    # A few states per word, not thirteen windows' worth.
+    assert matcher.machine.get_stats()["nodes_count"] < 3 * sum(len(t.split()) for _, t in items)
+    long = [i for i, t in items if len(t.split()) >= 20][:40]
+    for i in long:
+        words = items[i][1].split()
+        start = rng.randrange(len(words) - 13)
+        line = [w.encode() for w in ["q"] * 7 + words[start : start + 13] + ["q"] * 5]
+        spans, found = matcher.scan(line)
+        assert decontaminate.merged(spans).tolist() == [[7, 20]] and str(i) in found
+        assert not len(matcher.scan(line[:19])[0]) and not len(matcher.scan(line[8:])[0])
+    with pytest.raises(ValueError, match="characters"):
+        bench = spark.createDataFrame(items[:10], "item_id long, text string")
+        decontaminate.find_contamination(bench.withColumnRenamed("item_id", "doc_id"), bench, most_chars=100)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_every_window_holds_a_run(size):
+    rng = random.Random(size)
+    items = [(i, " ".join(rng.choices("abc", k=rng.randrange(1, 3 * size + 2)))) for i in range(6)]
+    matcher = decontaminate.Matcher([(str(i), t) for i, t in items], size)
+    for _ in range(300):
+        text = " ".join(rng.choices("abcd", k=rng.randrange(1, 30)))
+        spans, found = matcher.scan(decontaminate.normal_words(text))
+        spans = decontaminate.merged(spans)
+        assert (len(text.split()), int((spans[:, 1] - spans[:, 0]).sum()), sorted(found)) == plain(text, items, size)

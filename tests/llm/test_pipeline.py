@@ -23,6 +23,9 @@ def folder(spark, tmp_path_factory):
         bad = i % 5 == 0
         docs.append((i, text(60) + (" qzxhwyk wyqzzkx" if bad else ""), "en", f"src{i % 4}"))
         labels.append((i, int(bad)))
+    # A whole item; a window of 13 words in 2,000 others, and 12 words, which are no window.
+    part = item.split()[9:22]
+    docs += [(1006, f"{text(1200)} {' '.join(part)} {text(800)}", "en", "src2"), (1007, f"{text(500)} {' '.join(part[1:])} {text(500)}", "en", "src2")]
     docs += [(1000, text(50) + " " + item, "en", "src1"), (1001, docs[1][1], "en", "src1"), (1002, docs[2][1] + " one", "en", "src2"), (1003, text(40) + " password=hunter2hunter2", "en", "src3"), (1004, None, None, None), (1005, "", "en", "src0")]
     rows = [(d, t, g, s, len(t or ""), "kept") for d, t, g, s in docs]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(f"{out}/documents.parquet")
@@ -46,7 +49,7 @@ def test_each_stage_decides(spark, folder):
     want = brute.ngram_components([(d, r.text) for d, r in seen["toxicity"].items()], 5, 80)
     single = {d for d, (n, c) in want.items() if n == 0 or c == d}
     assert set(seen["ngram_join"]) == single and not {1001, 1002} & single
-    assert set(seen["decontamination"]) == single - {1000}
+    assert {1006, 1007} <= single and set(seen["decontamination"]) == single - {1000, 1006}
     assert set(seen["secrets"]) == set(seen["decontamination"])
     assert seen["secrets"][1003].text.endswith("[assign]") and not any(secrets.find_secrets(r.text)[1] for r in seen["secrets"].values())
     assert all(r.text == start[d].text for d, r in seen["secrets"].items() if d != 1003)
