@@ -2,24 +2,31 @@
 
 1. toxicity: documents that nearest labelled examples score as toxic go.
 2. ngram_join: of each group of near copies (five-word shingles, similarity 0.8) the lowest doc_id stays.
-3. decontamination: documents with a twentieth of their words, or more, in benchmark windows go.
+3. decontamination: documents that hold a window of 13 words of a benchmark item go, and so do those of which a
+   twentieth of the words, or more, are such items of fewer words.
 4. secrets: secrets are replaced by their kind; no document goes.
 5. mixing: how many words of which document the weighted mix takes; documents it takes nothing of go.
 
 All stages but the last return the columns of documents, whatever they are. A stage's rows are written as
-Parquet in the shared folder and read again, so a lost executor costs no earlier stage.
+Parquet in the shared folder and read again, so a lost executor costs no earlier stage; that table goes once its
+successor is written.
+
+Cases: a null or empty text, or one without words, is neither toxic, a copy, contaminated nor secret; it has size 0, so
+the mix takes nothing of it. A null source is a source of its own; a null doc_id always stays until the mix. Very
+long texts are worked on whole. Repeated rows are copies; of rows with one text and one doc_id all stay, as each is
+the lowest. Empty tables give empty results, and without labels or benchmark items nothing goes there. Further columns
+stay as they are, whatever their names; the last stage returns its own columns.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rhoscope.llm import decontaminate, mixing, ngram_join, secrets, toxicity
-from rhoscope.llm.common import shared_folder
+from rhoscope.llm.common import discard, settled
 
 _OWN = "_pipeline_"
 
@@ -43,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), prefix=_OWN)
-    return found.filter(~decontaminate.is_contaminated(_OWN)).select(*_columns(docs))
+    return found.filter(~decontaminate.has_passage(prefix=_OWN)).select(*_columns(docs))
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    shared_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    docs = _table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = _table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = settled(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
