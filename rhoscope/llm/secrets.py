@@ -3,7 +3,7 @@
 The text itself is the first layer. A layer is scanned for secrets; then percent escapes, Unicode escapes
 and base64 tokens in it are unwrapped, base64 bytes that are compressed (gzip, zlib, bz2) are unpacked, and
 every new layer joins the worklist until none is left. A layer that was seen before at the same place is not
-taken up again, so cycles end. Every span is mapped back to code points of the original text: escapes
+taken up again, and nor is a compressed one that it is itself in, so cycles end. Every span is mapped back to code points of the original text: escapes
 character by character, base64 and compressed layers to the whole token that held them.
 
 Cases: a null or empty text has no spans; texts are never cut; repeated rows are scanned apart; further
@@ -11,7 +11,7 @@ columns stay in ``redact_secrets`` and are ignored in ``scan_secrets``. Invalid
 replacement characters. Compressed layers, all their members, are read as streams of any length in blocks of
 16 MB that end where no secret or token can go on; a run of over 64 MB without such a place is scanned in blocks
 that overlap by 1 MB. ``unopened`` is set where a layer is larger than a caller's own ``max_unpacked``, or lies
-in more than 100 compressed ones, as in an archive that holds itself.
+in more than 100 different compressed ones.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -113,26 +113,51 @@ def inflated(raw: bytes, pieces: Iterator[bytes], most: int | None) -> Iterator:
     yield from pieces
 
 
-def unpacked(pieces: Iterator[bytes], most: int | None, depth: int = 100) -> Iterator[bytes]:
-    """Bytes unpacked until they aren't compressed. OverflowError beyond ``most`` bytes, and beyond ``depth``
-    layers, as an archive can hold itself."""
+def head(pieces: Iterator[bytes]) -> bytes:
+    """The first bytes, enough to tell what they are."""
     first = b""
     while len(first) < 3 and (more := next(pieces, b"")):
         first += more
+    return first
+
+
+def unpacked(fresh: Callable[[], Iterator[bytes]], most: int | None, depth: int = 100, around: tuple[bytes, ...] = ()) -> Iterator[bytes]:
+    """Bytes unpacked until they aren't compressed; ``fresh`` begins to read them anew.
+
+    A layer that equals one ``around`` it holds itself and adds nothing. OverflowError beyond ``most`` bytes, and
+    beyond ``depth`` layers.
+    """
+    pieces = fresh()
+    first = head(pieces)
     if not compressed(first):
         yield first
         yield from pieces
         return
+    digest = hashlib.blake2b(digest_size=16)
+    for piece in fresh():
+        digest.update(piece)
+    if digest.digest() in around:
+        return
     if not depth:
         raise OverflowError
-    inner = inflated(first, pieces, most)
-    yield from unpacked(inner, most, depth - 1) if next(inner) else inner
+
+    def inner() -> Iterator:
+        again = fresh()
+        return inflated(head(again), again, most)
+
+    def inside() -> Iterator[bytes]:
+        out = inner()
+        next(out)
+        return out
+
+    opened = inner()
+    yield from unpacked(inside, most, depth - 1, (*around, digest.digest())) if next(opened) else opened
 
 
 def contents(raw: bytes, most: int | None = None) -> Iterator[bytes]:
     """What is in a token's bytes, unpacked, in blocks that cut no secret or token."""
     held = b""
-    for piece in unpacked(iter([raw]), most):
+    for piece in unpacked(lambda: iter([raw]), most):
         held += piece
         if len(held) >= BLOCK:
             cut = max(held.rfind(c) for c in APART) + 1

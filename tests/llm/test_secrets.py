@@ -103,3 +103,89 @@ def test_query_digest(spark, tmp_path):
     assert (got[1].n_assign, got[1].n_access, got[1].n_hex, got[1].spans) == (1, 1, 1, line)
     assert got[1].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
     assert (got[2].n_assign, got[2].base_sha256, got[2].spans) == (0, hashlib.sha256(b"").hexdigest(), "")
+
+
+def test_an_archive_that_holds_itself_ends(monkeypatch):
+    """As a gzip quine does: what is unpacked is what was packed. Beside it everything is found."""
+
+    class Same:
+        eof, unused_data, unconsumed_tail = False, b"", b""
+
+        def decompress(self, given, most):
+            self.eof = True
+            return given
+
+    monkeypatch.setattr(secrets, "MAGIC", (*secrets.MAGIC, (b"QQQ", Same)))
+    calls = []
+    real = secrets.inflated
+    monkeypatch.setattr(secrets, "inflated", lambda *a: calls.append(1) or real(*a))
+    token = base64.b64encode(b"QQQ" + b"." * 30).decode()
+    base, spans, unopened = secrets.find_secrets(f"{token} {SECRET}")
+    assert spans == base and len(base) == 1 and not unopened and len(calls) < 10
+
+
+def twin(text):
+    """Kinds and places of all secrets, layer by layer without a worklist: a layer is a list of (character, start, end)."""
+    found, seen = set(), set()
+
+    def go(layer):
+        chars = "".join(c for c, _, _ in layer)
+        key = (chars, tuple((a, b) for _, a, b in layer))
+        if key in seen:
+            return
+        seen.add(key)
+        for a, k, b in plain_base(chars):
+            found.add((layer[a][1], k, layer[b - 1][2]))
+        for pattern, decode in ((r"(?:%[0-9A-Fa-f]{2})+", percent), (r"(?:\\u[0-9A-Fa-f]{4})+", escapes)):
+            out, at = [], 0
+            for m in re.finditer(pattern, chars):
+                out += layer[at : m.start()] + decode(m, layer)
+                at = m.end()
+            if at:
+                go(out + layer[at:])
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", chars):
+            bare = m[0].rstrip("=")
+            if len(bare) % 4 != 1:
+                raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
+                for _ in range(5):
+                    for opened in (gzip.decompress, zlib.decompress, bz2.decompress):
+                        try:
+                            raw = opened(raw)
+                        except (OSError, EOFError, ValueError, zlib.error):
+                            pass
+                inner = raw.decode(errors="replace")
+                go([(c, layer[m.start()][1], layer[m.end() - 1][2]) for c in inner])
+
+    def percent(m, layer):
+        # Plain ASCII here, so that each escape is a character.
+        return [(chr(int(m[0][i + 1 : i + 3], 16)), layer[m.start() + i][1], layer[m.start() + i + 2][2]) for i in range(0, len(m[0]), 3)]
+
+    def escapes(m, layer):
+        return [(chr(int(m[0][i + 2 : i + 6], 16)), layer[m.start() + i][1], layer[m.start() + i + 5][2]) for i in range(0, len(m[0]), 6)]
+
+    go([(c, i, i + 1) for i, c in enumerate(text)])
+    return sorted(found)
+
+
+def test_all_layers_against_a_plain_twin():
+    rng = random.Random(11)
+    secret = lambda: rng.choice(["password=%s" % "".join(rng.choices("abcxyz", k=8)), "AKIA" + "".join(rng.choices("ABCDEF", k=16)), "".join(rng.choices("0123456789abcdef", k=26))])
+    wrap = [
+        lambda t: "".join(f"%{ord(c):02X}" if rng.random() < 0.5 else c for c in t),
+        lambda t: "".join(f"\\u{ord(c):04x}" if rng.random() < 0.5 else c for c in t),
+        lambda t: base64.b64encode(f"- {t} -".encode()).decode(),
+        lambda t: base64.b64encode(rng.choice([gzip.compress, zlib.compress, bz2.compress])(f"- {t} -".encode())).decode(),
+    ]
+    deep = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            t = secret()
+            for _ in range(rng.randrange(4)):
+                t = rng.choice(wrap)(t)
+            parts.append(t)
+        text = " ; ".join(parts)
+        got = secrets.find_secrets(text)
+        assert set(twin(text)) <= set(got[1]), text
+        deep += len(got[1]) > len(got[0])
+    assert deep > 50
