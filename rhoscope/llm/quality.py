@@ -5,7 +5,10 @@ quantiles) is fitted on at most ``max_examples`` labelled documents, a documente
 summed per path and per host by grouped aggregation over all documents. The spread of hosts around the whole,
 and of paths around their hosts, beyond what sampling explains, gives the weights of two beta priors: a host's
 posterior shrinks towards the global rate, a path's towards its host's, the more the fewer documents it has.
-The score's log-odds are the document's plus the path posterior's minus the global rate's.
+The score's log-odds are the document's plus those of its path posterior, less the global rate's; that posterior is
+made from the site's other documents, so that a document's evidence counts once.
+
+Hosts and paths are any columns: source and language for plain documents, ``site_of_url`` for pages.
 
 A host with a third of all rows is one sum per task before the shuffle; joins bring posteriors back, one row
 per path. Cases: a null or empty text has the features of an empty text; a null host or path is a site of its
@@ -86,14 +89,15 @@ class Classifier:
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, max_examples: int) -> Classifier | None:
     taken = labels.filter("doc_id is not null and quality is not null").filter(learn).groupBy("doc_id").agg(F.max("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     # At most max_examples rows: a bound that doesn't grow with the data.
-    chosen = documents.select("doc_id", "text").join(F.broadcast(taken.withColumnRenamed("doc_id", "_doc")), F.col("doc_id") == F.col("_doc")).select("text", F.col("_quality").cast("int").alias("good"))
+    chosen = documents.select("doc_id", "text").join(F.broadcast(taken.withColumnRenamed("doc_id", "_doc")), F.col("doc_id") == F.col("_doc")).select("_doc", "text", F.col("_quality").cast("int").alias("good"))
 
     def measured(batches):
         for batch in batches:
             x = features(*texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("good")], names=["x", "good"])
 
-    rows = chosen.mapInArrow(measured, "x array<double>, good int").limit(max_examples).collect()
+    # Of rows with one doc_id, the first text counts; so no more than max_examples rows come to the driver.
+    rows = chosen.groupBy("_doc").agg(F.min("text").alias("text"), F.max("good").alias("good")).mapInArrow(measured, "x array<double>, good int").collect()
     rows = sorted((tuple(r["x"]), r["good"]) for r in rows)  # in one order, whatever the tasks' was
     y = np.array([g for _, g in rows], float)
     return Classifier(np.array([x for x, _ in rows]), y) if 0 < y.sum() < y.size else None
@@ -121,11 +125,12 @@ def _prior_weight(groups: DataFrame, mean: str) -> float:
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, learn: Column | None = None, max_examples: int = 20_000, threshold: float = 0.5, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """``documents`` with evidence, host_posterior, path_posterior, score and kept (score >= ``threshold``).
+    """``documents`` with evidence, host_posterior, path_posterior, others_posterior (the path's without the
+    document), score and kept (score >= ``threshold``).
 
     ``columns`` of the documents stay (None: all); what stays is written to the shared folder once.
     """
-    own = ("evidence", "host_posterior", "path_posterior", "score", "kept")
+    own = ("evidence", "host_posterior", "path_posterior", "others_posterior", "score", "kept")
     keep = [c for c in (documents.columns if columns is None else columns) if c not in own]
     model = fit(documents, labels, F.lit(True) if learn is None else learn, max_examples)
     named = documents.select(*(f"`{c}`" for c in keep), F.col("text").alias("_text"), (F.col("source") if host is None else host).alias("_host"), (F.col("lang") if path is None else path).alias("_path"))
@@ -143,11 +148,18 @@ def score_quality(documents: DataFrame, labels: DataFrame, host: Column | None =
     n, p_sum = paths.agg(F.sum("n"), F.sum("p_sum")).first()
     rate = p_sum / n if n else 0.5
     weight = _prior_weight(hosts.withColumn("mean", F.lit(rate)), "mean")
-    hosts = hosts.select("_h", ((F.col("p_sum") + weight * rate) / (F.col("n") + weight)).alias("host_posterior"))
+    posterior = lambda total, n, prior, mean: (total + prior * mean) / (n + prior)
+    hosts = hosts.select("_h", F.col("n").alias("h_n"), F.col("p_sum").alias("h_sum"), posterior(F.col("p_sum"), F.col("n"), weight, rate).alias("host_posterior"))
     placed = settled(paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h"))
     inner = _prior_weight(placed, "host_posterior")
-    sites = placed.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "host_posterior", ((F.col("p_sum") + inner * F.col("host_posterior")) / (F.col("n") + inner)).alias("path_posterior"))
-    odds = logit(F.col("evidence")) + logit(F.col("path_posterior")) - logit(F.lit(rate))
-    joined = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p"))).withColumn("score", F.lit(rate) if model is None else 1 / (1 + F.exp(-odds)))
+    about = ["n", "p_sum", "h_n", "h_sum", "host_posterior"]
+    sites = placed.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), *(F.col(c).alias(f"_{c}") for c in about))
+    joined = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
+    # The site without this document; sums are rounded, so a lone document's rest may miss 0 by a hair.
+    left = lambda c: F.greatest(F.col(c) - F.col("evidence"), F.lit(0.0))
+    others = posterior(left("_p_sum"), F.col("_n") - 1, inner, posterior(left("_h_sum"), F.col("_h_n") - 1, weight, rate))
+    joined = joined.withColumn("host_posterior", F.col("_host_posterior")).withColumn("path_posterior", posterior(F.col("_p_sum"), F.col("_n"), inner, F.col("_host_posterior"))).withColumn("others_posterior", others)
+    odds = logit(F.col("evidence")) + logit(F.col("others_posterior")) - logit(F.lit(rate))
+    joined = joined.withColumn("score", F.lit(rate) if model is None else 1 / (1 + F.exp(-odds)))
     kept = F.lit(True) if model is None else F.col("score") >= threshold
-    return joined.select(*(f"`{c}`" for c in keep), "evidence", "host_posterior", "path_posterior", "score", kept.alias("kept"))
+    return joined.select(*(f"`{c}`" for c in keep), "evidence", "host_posterior", "path_posterior", "others_posterior", "score", kept.alias("kept"))

@@ -37,12 +37,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), "unopened")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=toxicity.fold() != 0, columns=("doc_id",))
-    return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", F.col("kept").cast("int").alias("predicted"), "kept")
+    return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "evidence", "host_posterior", "path_posterior", "others_posterior", "score", F.col("kept").cast("int").alias("predicted"), "kept")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
