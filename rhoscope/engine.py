@@ -167,7 +167,7 @@ def validate(traces: TraceSet, formula: Formula) -> DataFrame:
 
 def violations(traces: TraceSet, formula: Formula, by: Column | str, **options) -> DataFrame:
     """(by, samples, violations, worst): how often a scalar formula is violated, and how badly, per group of rows."""
-    lowering = Lowering(traces, formula, **options)
+    lowering = Lowering(traces, formula, kept=None, **options)
     df = lowering.run().select(by if isinstance(by, Column) else F.col(by), lowering.expression(lowering.root).alias("_metric"))
     group = df.columns[0]
     return df.groupBy(group).agg(F.count("*").alias("samples"), F.sum((F.col("_metric") < 0).cast("long")).alias("violations"), (F.min(F.nanvl("_metric", F.lit(math.inf))) + F.lit(0.0)).alias("worst"))

@@ -10,6 +10,8 @@ from collections.abc import Hashable, Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+from rhoscope.errors import EmptyConstraints
+
 
 @dataclass(frozen=True)
 class Guard:
@@ -54,6 +56,23 @@ class Automaton:
         """From collected rows of a (small) edge table; ``guard(row)`` gives the constraints."""
         return Automaton((r[start], r[end], guard(r)) for r in rows)
 
+    @staticmethod
+    def from_df(edges, start: str, end: str, guard, most: int = 10_000) -> Automaton:
+        """From a DataFrame of edges, in its order; ``guard(row)`` gives the constraints of an edge.
+
+        An automaton is part of the plan, so a table of more than ``most`` edges is refused, as are edges without
+        both labels or without a constraint.
+        """
+        rows = edges.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"there are more than {most} edges")
+        for r in rows:
+            if r[start] is None or r[end] is None:
+                raise ValueError(f"edge {r.asDict()} has a label that is NULL")
+            if not Guard.of(guard(r)).constraints:
+                raise EmptyConstraints(f"edge {r.asDict()} has no constraint")
+        return Automaton.from_rows(rows, start, end, guard)
+
     @property
     def labels(self) -> tuple[Hashable, ...]:
         return tuple(dict.fromkeys(x for a, b, _ in self.edges for x in (a, b)))

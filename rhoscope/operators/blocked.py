@@ -2,18 +2,21 @@
 
 A sample's fold over all later samples is the fold within its block, met with that of all later blocks; there
 are few blocks per trace, so the second part is a small window over one row per block. For a bounded window a
-block gets copies of the samples around it that its windows reach. No task holds more than a block and its
-surroundings, whatever the length of the trace.
+block gets copies of the samples around it that its windows reach. What a strict until makes of a block is a
+function of what follows the block, max(lo, min(hi, x)), and few such functions are left to be applied per trace. No
+task holds more than a block and its surroundings, whatever the length of the trace.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.functions.metrics import Metric
+from rhoscope.functions.metrics import SCALAR, Metric
+from rhoscope.operators import kernels
 from rhoscope.plans.formula import Interval
 
 BLOCK = "_block"
@@ -42,13 +45,44 @@ def fold_all(df: DataFrame, keys: tuple[str, ...], time: str, column: str, out:
     return joined.withColumn(out, F.when(F.col("_beyond").isNull(), F.col(out)).otherwise(both(F.col(out), F.col("_beyond")))).drop("_beyond", "_k_block", *(f"_k_{k}" for k in keys))
 
 
-def fold_window(df: DataFrame, keys: tuple[str, ...], time: str, column: str, out: str, kind: str, frame: str, interval: Interval, width: float, metric: Metric) -> DataFrame:
-    """Fold over a RANGE frame; samples visit every block whose windows reach them."""
+def _visits(df: DataFrame, time: str, interval: Interval, width: float) -> DataFrame:
+    """Every sample in its own block and in those whose windows reach it; ``_home`` is its own."""
     if math.isinf(interval.low) or math.isinf(interval.high):
         raise ValueError("a blocked window needs two finite bounds")
     first = F.floor((F.col(time) - F.lit(interval.high)) / F.lit(float(width))).cast("long") - 1
     last = F.floor((F.col(time) - F.lit(interval.low)) / F.lit(float(width))).cast("long") + 1
-    visits = df.withColumn("_home", F.col(BLOCK)).withColumn(BLOCK, F.explode(F.array_union(F.sequence(first, last), F.array(F.col(BLOCK)))))
+    return df.withColumn("_home", F.col(BLOCK)).withColumn(BLOCK, F.explode(F.array_union(F.sequence(first, last), F.array(F.col(BLOCK)))))
+
+
+def fold_kernel(df: DataFrame, keys: tuple[str, ...], time: str, column: str, out: str, kind: str, interval: Interval, width: float, metric: Metric) -> DataFrame:
+    """Fold over windows of any kind, half-open ones of DOUBLE times too, block by block in numpy."""
+    folded = kernels.fold_kernel(_visits(df, time, interval, width), (*keys, BLOCK), time, column, out, kind, interval, metric)
+    return folded.filter(F.col(BLOCK) == F.col("_home")).drop("_home")
+
+
+def strict_until(df: DataFrame, keys: tuple[str, ...], time: str, left: str, right: str, out: str) -> DataFrame:
+    """Textbook until of scalar columns."""
+    ends = (f"{out}_lo", f"{out}_hi")
+    near = kernels.per_trace(df, (*keys, BLOCK), time, [left, right], list(ends), lambda t, a, b: (kernels.strict_until(a, b), kernels.strict_until(a, b, np.inf)), SCALAR)
+    heads = near.groupBy(*keys, BLOCK).agg(*(F.min_by(c, time).alias(c) for c in ends))
+
+    def after(blocks, lo, hi):
+        x, held = -math.inf, np.empty(len(lo))
+        for i in range(len(lo) - 1, -1, -1):
+            held[i] = x
+            x = max(lo[i], min(hi[i], x))
+        return held
+
+    beyond = kernels.per_trace(heads, keys, BLOCK, list(ends), "_beyond", after, SCALAR).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(BLOCK).alias("_k_block"), "_beyond")
+    on = F.col(BLOCK) == F.col("_k_block")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return near.join(beyond, on).withColumn(out, F.greatest(F.col(ends[0]), F.least(F.col(ends[1]), F.col("_beyond")))).drop("_beyond", "_k_block", *ends, *(f"_k_{k}" for k in keys))
+
+
+def fold_window(df: DataFrame, keys: tuple[str, ...], time: str, column: str, out: str, kind: str, frame: str, interval: Interval, width: float, metric: Metric) -> DataFrame:
+    """Fold over a RANGE frame; samples visit every block whose windows reach them."""
+    visits = _visits(df, time, interval, width)
     folded = visits.withColumn(out, F.expr(f"{metric.fold_sql(kind, column)} OVER (PARTITION BY {_quoted((*keys, BLOCK))} ORDER BY `{time}` RANGE BETWEEN {frame})"))
     return folded.filter(F.col(BLOCK) == F.col("_home")).drop("_home")
 

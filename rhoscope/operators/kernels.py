@@ -34,10 +34,9 @@ def range_fold(values: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str
     return out
 
 
-def strict_until(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Textbook until: from the last sample back, left meet (right join what follows)."""
+def strict_until(left: np.ndarray, right: np.ndarray, after: float = -np.inf) -> np.ndarray:
+    """Textbook until: from the last sample back, left meet (right join what follows); ``after`` follows the last."""
     out = np.empty_like(right)
-    after = -np.inf
     for i in range(right.size - 1, -1, -1):
         after = np.fmin(left[i], np.fmax(right[i], after))
         out[i] = after
@@ -54,22 +53,25 @@ def ranks(table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return number, rows[new]
 
 
-def per_trace(df: DataFrame, keys: tuple[str, ...], time: str, inputs: list[str], out: str, function, metric: Metric) -> DataFrame:
-    """Add ``out``: function(times, *inputs) of each trace, in time order. A hybrid metric comes and goes as its parts."""
+def per_trace(df: DataFrame, keys: tuple[str, ...], time: str, inputs: list[str], out: str | list[str], function, metric: Metric) -> DataFrame:
+    """Add ``out``: function(times, *inputs) of each trace, in time order. A hybrid metric comes and goes as its parts.
+
+    With several names in ``out`` the function gives as many scalar columns.
+    """
     hybrid = metric is HYBRID
     parts = ("rank", "neg_hops", "dist")
     flat = df
     if hybrid:
         flat = df.select("*", *(F.col(f"`{c}`.{p}").alias(f"{c}__{p}") for c in inputs for p in parts)).drop(*inputs)
-    results = [f"{out}__{p}" for p in parts] if hybrid else [out]
-    kinds = ("tinyint", "int", "double") if hybrid else ("double",)
+    results = [f"{out}__{p}" for p in parts] if hybrid else [out] if isinstance(out, str) else out
+    kinds = ("tinyint", "int", "double") if hybrid else ("double",) * len(results)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields), *(f"`{r}` {k}" for r, k in zip(results, kinds, strict=True))])
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time, kind="stable", ignore_index=True)
         given = [pdf[[f"{c}__{p}" for p in parts]] if hybrid else pdf[c].to_numpy() for c in inputs]
         values = function(pdf[time].to_numpy(), *given)
-        return pdf.assign(**dict(zip(results, values if hybrid else (values,), strict=True)))
+        return pdf.assign(**dict(zip(results, (values,) if isinstance(values, np.ndarray) else values, strict=True)))
 
     done = flat.groupBy(*keys).applyInPandas(work, schema)
     if not hybrid:

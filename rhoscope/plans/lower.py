@@ -20,7 +20,7 @@ from rhoscope.errors import EmptyConstraints, NanCoefficient
 from rhoscope.functions.metrics import HYBRID, metric_named
 from rhoscope.operators import blocked, kernels
 from rhoscope.plans.formula import And, CustomExpression, CustomOperator, Fold, Formula, HybridPredicate, Implies, Interval, Next, Not, Or, Predicate, Prev, TraceFunction, Until
-from rhoscope.plans.rewrite import core, metric_of, simplified
+from rhoscope.plans.rewrite import core, metric_of, simplified, variables_of
 from rhoscope.sources.traces import TraceSet
 
 
@@ -49,19 +49,36 @@ class Context:
 
 
 class Lowering:
-    """Compiles one formula over one set of traces; ``result`` has the traces' columns and the metric's column."""
+    """Compiles one formula over one set of traces.
 
-    def __init__(self, traces: TraceSet, formula: Formula, block_width: float | None = None, half_open: str = "kernel", wide: str = "native"):
+    Of the traces' columns those stay that the formula needs, and ``kept`` (None: all).
+    """
+
+    def __init__(self, traces: TraceSet, formula: Formula, block_width: float | None = None, half_open: str = "kernel", wide: str = "native", kept: tuple[str, ...] | None = ()):
         self.traces, self.metric = traces, metric_named(metric_of(formula))
         self.root = core(simplified(formula, self.metric.name == "scalar"))
         self.whole = isinstance(traces.df.schema[traces.time].dataType, (T.LongType, T.IntegerType))
-        self.block_width, self.half_open, self.wide = block_width, half_open, wide
-        self.df, self.count = traces.df, 0
+        self.block_width, self.half_open, self.wide, self.kept = block_width, half_open, wide, kept
+        self.df, self.count = self.pruned(), 0
+        # A time that is NULL or NaN has no place in any window.
+        at = F.col(f"`{traces.time}`")
+        improper = at.isNull() if self.whole else at.isNull() | F.isnan(at)
+        self.df = self.df.withColumn(traces.time, F.when(improper, F.raise_error(F.concat(F.lit("a time is NULL or NaN"), self.where())).cast(self.df.schema[traces.time].dataType)).otherwise(at))
         if block_width:
             self.df = blocked.with_blocks(self.df, traces.time, block_width)
         self.known: dict[Formula, Column] = {}
         self.rounds: dict[Formula, int] = {}
 
+    def pruned(self) -> DataFrame:
+        """The traces without columns that no part of the formula can read: kernels send what is left to Python."""
+        wanted, todo = {*self.traces.keys, self.traces.time, self.traces.label, self.traces.states}, [self.root]
+        while todo:
+            f = todo.pop()
+            if isinstance(f, (CustomExpression, CustomOperator)) or self.kept is None:
+                return self.traces.df
+            todo += f.children()
+        return self.traces.df.select(*(f"`{c}`" for c in self.traces.df.columns if c in wanted or c in self.kept or c in variables_of(self.root)))
+
     # Names and windows
 
     def fresh(self) -> str:
@@ -254,7 +271,10 @@ class Lowering:
         elif isinstance(f, Until):
             if self.metric is HYBRID:
                 raise TypeError("strict until is for the scalar metric")
-            self.df = kernels.per_trace(self.df, keys, time, [self.operand(f.left), self.operand(f.right)], name, lambda t, a, b: kernels.strict_until(a, b), self.metric)
+            if self.block_width:
+                self.df = blocked.strict_until(self.df, keys, time, self.operand(f.left), self.operand(f.right), name)
+            else:
+                self.df = kernels.per_trace(self.df, keys, time, [self.operand(f.left), self.operand(f.right)], name, lambda t, a, b: kernels.strict_until(a, b), self.metric)
         elif not self.block_width:
             self.df = kernels.fold_kernel(self.df, keys, time, self.operand(f.operand), name, f.kind, self.interval(f.reach), self.metric)
         elif isinstance(f, Next):
@@ -268,8 +288,9 @@ class Lowering:
             self.df = blocked.fold_all(self.df, keys, time, self.operand(f.operand), name, f.kind, f.reach == "past", self.metric)
         else:
             bounds = self.interval(f.reach)
-            if not bounds.closed:
-                raise ValueError("a blocked window needs integer times or a closed end")
+            if not bounds.closed or self.wide == "kernel":
+                self.df = blocked.fold_kernel(self.df, keys, time, self.operand(f.operand), name, f.kind, bounds, self.block_width, self.metric)
+                return
             frame = f"{offset(bounds.low, self.whole)} AND {offset(bounds.high, self.whole)}"
             self.df = blocked.fold_window(self.df, keys, time, self.operand(f.operand), name, f.kind, frame, bounds, self.block_width, self.metric)
             self.df = self.df.withColumn(name, F.coalesce(name, self.metric.empty(f.kind)))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rhoscope.errors import InvalidTrace, MissingVariable
+from rhoscope.errors import InvalidTrace, MismatchedLengths, MismatchedTimes, MissingVariable
 
 
 @dataclass(frozen=True)
@@ -30,8 +31,12 @@ class TraceSet:
     # Making
 
     @staticmethod
-    def of(df: DataFrame, keys: Sequence[str] | str = "trace_id", time: str | Column = "time", label: str | None = None, states: str | None = None) -> TraceSet:
-        """Traces in a DataFrame. ``time`` may be an expression; times are DOUBLE unless they are integers."""
+    def of(df: DataFrame, keys: Sequence[str] | str = "trace_id", time: str | Column = "time", label: str | None = None, states: str | None = None, sequence: str | None = None) -> TraceSet:
+        """Traces in a DataFrame. ``time`` may be an expression; times are DOUBLE unless they are integers.
+
+        Times that are NULL or NaN fail when a formula is evaluated; ``problems`` lists them. Of samples at one time the
+        one with the largest ``sequence`` stays; without it, times are taken to be unique (``validated`` checks that).
+        """
         keys = (keys,) if isinstance(keys, str) else tuple(keys)
         name = time if isinstance(time, str) else "time"
         column = F.col(time) if isinstance(time, str) else time
@@ -44,7 +49,8 @@ class TraceSet:
             column = column.cast("double") + F.lit(0.0)  # -0.0 and 0.0 are one time
         else:
             column = column.cast("long")
-        return TraceSet(df.withColumn(name, column), keys, name, label, states)
+        out = TraceSet(df.withColumn(name, column), keys, name, label, states)
+        return out.deduplicated(sequence) if sequence else out
 
     @staticmethod
     def empty(spark: SparkSession, variables: Sequence[str]) -> TraceSet:
@@ -178,13 +184,42 @@ class TraceSet:
         return self.ordered(descending=True).toLocalIterator()
 
     def insert(self, other: TraceSet | DataFrame) -> TraceSet:
-        """Samples of ``other`` are added; at times that are taken they replace what is there."""
+        """Samples of ``other`` are added; at times that are taken they replace what is there.
+
+        Of several new samples at one time that with the largest hash of its values stays, so reruns agree.
+        """
         new = other.df if isinstance(other, TraceSet) else other
         both = self.df.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
         rest = [c for c in self.df.columns if c not in (*self.keys, self.time)]
-        last = both.groupBy(*self.keys, self.time).agg(F.max_by(F.struct(*rest), "_age").alias("_s"))
+        plain = [f"`{c}`" for c in rest if not isinstance(self.df.schema[c].dataType, T.MapType)]
+        last = both.groupBy(*self.keys, self.time).agg(F.max_by(F.struct(*rest), F.struct("_age", F.xxhash64(F.lit(0), *plain))).alias("_s"))
         return self.with_df(last.select(*[F.col(c) if c in (*self.keys, self.time) else F.col(f"_s.`{c}`").alias(c) for c in self.df.columns]))
 
+    def mismatches(self, other: TraceSet) -> DataFrame:
+        """(keys, time, side): samples that only this set ("left") or only the other one ("right") has."""
+        mine, theirs = self.times(), other.times().toDF(*self.keys, self.time)
+        on = [*self.keys, self.time]
+        same = lambda a, b: [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in on]
+        only = lambda a, b, side: a.alias("a").join(b.alias("b"), same(a, b), "left_anti").withColumn("side", F.lit(side))
+        return only(mine, theirs, "left").unionByName(only(theirs, mine, "right"))
+
+    def zipped(self, other: TraceSet, suffix: str = "_2") -> TraceSet:
+        """Samples of both sets side by side; columns of the other whose names are taken get ``suffix``.
+
+        Both must have the same times in every trace: else MismatchedLengths or MismatchedTimes.
+        """
+        first = self.mismatches(other).orderBy(*self.keys, self.time).first()
+        if first is not None:
+            trace = [F.col(k).eqNullSafe(F.lit(first[k])) for k in self.keys]
+            left, right = (t.times().toDF(*self.keys, self.time).filter(reduce(Column.__and__, trace)).count() for t in (self, other))
+            if left != right:
+                raise MismatchedLengths(left, right)
+            raise MismatchedTimes(f"{first['side']} operand alone has a sample in {first.asDict()}")
+        own = {*other.keys, other.time}
+        theirs = other.df.select(*(F.col(f"`{a}`").alias(f"_z_{b}") for a, b in zip((*other.keys, other.time), (*self.keys, self.time), strict=True)), *(F.col(f"`{c}`").alias(f"{c}{suffix}" if c in self.df.columns else c) for c in other.df.columns if c not in own))
+        on = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_z_{c}`")) for c in (*self.keys, self.time)]
+        return self.with_df(self.df.join(theirs, reduce(Column.__and__, on)).drop(*(f"_z_{c}" for c in (*self.keys, self.time))))
+
     def deduplicated(self, sequence: str) -> TraceSet:
         """One sample per time: that with the largest ``sequence``."""
         rest = [c for c in self.df.columns if c not in (*self.keys, self.time)]

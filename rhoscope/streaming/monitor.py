@@ -3,8 +3,10 @@
 State is kept per trace: the samples that a pending or future result may need. A result at t is settled when
 every operator on its way is: bounded operators once a sample beyond the window has come, Next once its sample
 has. Unbounded operators settle only when the trace ends, that is, when no sample came for ``timeout_ms``;
-then all that is left goes out. Samples must come in time order per trace up to the watermark's delay; those
-at or before a sample's time that has already been given up are dropped.
+then all that is left goes out. A sample may come late: results are held back until the trace's clock, its latest
+time, is ``lateness`` beyond what they depend on, so whatever is no later than that has the place it would have had in
+time. Samples that come later still, at or before a time whose result has gone out, are dropped. State is bounded
+by the operators' windows and ``lateness``, but for unbounded operators, which need the whole trace.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def lookback(f: Formula) -> tuple[float, int]:
     return time, count
 
 
-def stream_monitor(df: DataFrame, formula: Formula, keys: tuple[str, ...] = ("trace_id",), time: str = "time", label: str | None = None, timeout_ms: int = 60_000) -> DataFrame:
+def stream_monitor(df: DataFrame, formula: Formula, keys: tuple[str, ...] = ("trace_id",), time: str = "time", label: str | None = None, timeout_ms: int = 60_000, lateness: float = 0.0) -> DataFrame:
     """(keys, time, robustness), or with kind, hops, dist, for a streaming DataFrame of samples."""
     hybrid = metric_of(formula) == "hybrid"
     names = sorted(variables_of(formula)) + ([label] if label else [])
@@ -97,8 +99,10 @@ def stream_monitor(df: DataFrame, formula: Formula, keys: tuple[str, ...] = ("tr
                     known[t] = record
         trace = sorted(known.items())
         times = [t for t, _ in trace]
-        n = settled_count(formula, times)
-        ready = [x for x in interpret(formula, trace, label)[:n] if x[0] > done]
+        # Up to the clock less the lateness, no sample is missing.
+        firm = bisect_right(times, times[-1] - lateness) if times else 0
+        n = settled_count(formula, times[:firm])
+        ready = [x for x in interpret(formula, trace[:firm], label)[:n] if x[0] > done] if n and times[n - 1] > done else []
         if ready:
             done = ready[-1][0]
             yield rows(key, ready)

@@ -3,7 +3,7 @@ import math
 import pytest
 
 from rhoscope.engine import evaluate, evaluate_one, monitor, validate
-from rhoscope.errors import EmptyConstraints, EmptyTrace, InvalidTrace, MetricMismatch, MismatchedLengths, MissingVariable, NanCoefficient
+from rhoscope.errors import EmptyConstraints, EmptyTrace, InvalidTrace, MetricMismatch, MismatchedLengths, MismatchedTimes, MissingVariable, NanCoefficient
 from rhoscope.functions.metrics import UNREACHABLE, HybridDistance
 from rhoscope.operators.automaton import Automaton, Guard
 from rhoscope.plans.dsl import always, eventually, next_, until, var
@@ -23,8 +23,8 @@ def test_terms_from_all_forms():
 
 
 def test_inequality_moves_variables_left_and_constants_right():
-    p = x * 3.0 + 1.0 <= y * 4.1 + 3.2 + var("z")
-    assert p["x"] == 3.0 and p["y"] == -4.1 and p["z"] == -1.0 and p.constant == pytest.approx(2.2)
+    p = x * 2.5 + 6.0 <= y * 0.75 + 8.5 + var("z")
+    assert p["x"] == 2.5 and p["y"] == -0.75 and p["z"] == -1.0 and p.constant == 2.5
     assert p.get("w") is None
     with pytest.raises(KeyError):
         p["w"]
@@ -265,3 +265,58 @@ def test_a_callers_metric(spark):
     assert holds(eventually(small, 1, 1)) == [False, True, True, False]
     assert holds(until(small, Not(small))) == [False, False, False, False]
     assert holds(Or(next_(small), Not(small))) == [False, True, True, False]
+
+
+def test_improper_times_fail_when_a_formula_is_evaluated(spark):
+    for bad in (None, math.nan):
+        traces = TraceSet.of(spark.createDataFrame([("a", 0.0, 1.0), ("b", bad, 1.0)], "trace_id string, time double, x double"))
+        for run in (monitor, evaluate):
+            with pytest.raises(Exception, match="a time is NULL or NaN in trace b"):
+                run(traces, always(x <= 2.0)).collect()
+        assert [r.trace_id for r in traces.problems().collect()] == ["b"]
+    whole = TraceSet.of(spark.createDataFrame([("a", None, 1.0)], "trace_id string, time long, x double"))
+    with pytest.raises(Exception, match="a time is NULL"):
+        monitor(whole, x <= 2.0).collect()
+
+
+def test_repeated_times_by_sequence_and_in_inserts(spark):
+    df = spark.createDataFrame([("a", 0.0, 5.0, 1), ("a", 0.0, 7.0, 2), ("a", 1.0, 2.0, 3)], "trace_id string, time double, x double, seq int")
+    assert [r.robustness for r in monitor(TraceSet.of(df, sequence="seq"), x <= 10.0).orderBy("time").collect()] == [3.0, 8.0]
+    old = TraceSet.of(df.filter("time = 1"))
+    new = df.filter("time = 0")
+    assert {tuple(map(tuple, old.insert(new.repartition(k)).ordered().collect())) for k in (1, 2, 3)} == {tuple(map(tuple, old.insert(new).ordered().collect()))}
+
+
+def test_zipped_traces_have_the_same_times(spark):
+    frame = lambda rows, name="x": TraceSet.of(spark.createDataFrame(rows, f"trace_id string, time double, {name} double"))
+    left = frame([("a", 0.0, 1.0), ("a", 1.0, 2.0), (None, 0.0, 3.0)])
+    both = left.zipped(frame([("a", 1.0, 5.0), ("a", 0.0, 4.0), (None, 0.0, 6.0)]))
+    assert sorted((r.x, r.x_2) for r in both.df.collect()) == [(1.0, 4.0), (2.0, 5.0), (3.0, 6.0)]
+    assert sorted(r.robustness for r in monitor(both, x <= var("x_2")).collect()) == [3.0, 3.0, 3.0]
+    with pytest.raises(MismatchedLengths) as caught:
+        left.zipped(frame([("a", 0.0, 1.0), (None, 0.0, 3.0)]))
+    assert (caught.value.left, caught.value.right) == (2, 1)
+    with pytest.raises(MismatchedTimes):
+        left.zipped(frame([("a", 0.0, 1.0), ("a", 2.0, 1.0), (None, 0.0, 3.0)]))
+
+
+def test_automata_from_tables(spark):
+    edges = spark.createDataFrame([("p", "q", 4.0), ("q", "r", 2.0)], "a string, b string, limit double")
+    guard = lambda r: x <= r["limit"]
+    assert Automaton.from_df(edges.coalesce(1), "a", "b", guard).shortest_path("p", "r").hops == 2
+    with pytest.raises(ValueError, match="more than 1"):
+        Automaton.from_df(edges, "a", "b", guard, most=1)
+    with pytest.raises(ValueError, match="NULL"):
+        Automaton.from_df(spark.createDataFrame([("p", None, 1.0)], "a string, b string, limit double"), "a", "b", guard)
+    with pytest.raises(EmptyConstraints):
+        Automaton.from_df(edges, "a", "b", lambda r: ())
+
+
+@pytest.mark.parametrize("width", [0.5, 3.0, 100.0])
+def test_blocks_for_half_open_windows_and_strict_until(spark, width):
+    times = [0.0, 0.25, 1.0, 1.5, 2.0, 3.25, 6.0, 6.5, 7.0, 9.75]
+    traces = TraceSet.of(spark.createDataFrame([(k, t, float((i * 7 + len(k)) % 9)) for k in ("a", "bb") for i, t in enumerate(times)], "trace_id string, time double, x double"))
+    p, q = x <= 5.0, x * -1.0 <= -3.0
+    for f in (always(p, 0.5, 2.0, closed=False), eventually(p, -1.0, 0.25, closed=False), until(p, q, strict=True), And(until(q, p, strict=True), always(q, 0, 1, closed=False))):
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(monitor(traces, f, block_width=width)) == rows(monitor(traces, f))
