@@ -5,17 +5,20 @@ Traces are the events of a user: time is seconds since the epoch, the variable i
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhoscope.engine import evaluate, monitor, violations
-from rhoscope.functions.metrics import SCALAR
+from rhoscope.engine import evaluate, evaluate_one, monitor, validate, violations
+from rhoscope.errors import RhoscopeError
+from rhoscope.functions.metrics import SCALAR, HybridDistance
 from rhoscope.operators.automaton import Automaton
 from rhoscope.plans.dsl import always, eventually, next_, prev, until, var
 from rhoscope.plans.formula import And, CustomExpression, CustomOperator, Formula, HybridPredicate, Implies, Not, Or, Predicate, TraceFunction
-from rhoscope.plans.parser import parse_formula, parse_hybrid_formula
+from rhoscope.plans.parser import parse_formula, parse_hybrid_formula, parse_predicate
 from rhoscope.sources.traces import TraceSet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,7 +223,10 @@ def trace_deduplicated(spark, sf_dir):
     return TraceSet.of(orders, "o_custkey", "time").deduplicated("o_orderkey").df
 
 
-@_query("shortest_path", "SELECT * FROM (VALUES ('view','click',1),('view','purchase',2),('view','error',2),('click','purchase',1),('click','view',2),('click','error',1),('purchase','view',1),('purchase','click',2),('purchase','error',3),('signup','view',1),('signup','click',2),('signup','purchase',3),('signup','error',3)) t(start, target, hops)")
+_WALK = "WITH RECURSIVE edges(a, b) AS (VALUES ('view','click'),('click','purchase'),('purchase','view'),('signup','view'),('click','error')), walk(start, target, hops) AS (SELECT a, b, 1 FROM edges UNION SELECT start, b, hops + 1 FROM walk JOIN edges ON target = a WHERE hops < 6)"
+
+
+@_query("shortest_path", f"{_WALK} SELECT start, target, min(hops) AS hops FROM walk WHERE start <> target GROUP BY 1, 2")
 def shortest_path(spark, sf_dir):
     rows = [(a, b, p.hops) for a in SYSTEM.labels for b, p in SYSTEM.paths_from(a).items()]
     return spark.createDataFrame(rows, "start string, target string, hops int")
@@ -237,6 +243,170 @@ def conversation_turns(spark, sf_dir):
     return monitor(TraceSet.of(turns, "conv_id", "time"), always(var("chars") <= 4000.0))
 
 
+# Traces from files and from Python, single samples, order.
+def _folder(spark: SparkSession) -> str:
+    """Where a query may write: the folder that executors share, if the session names one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='rhoscope-')}/queries-{uuid.uuid4()}"
+
+
+@_query("trace_csv", f"WITH e AS ({BASE}), f AS (SELECT *, min({P}) OVER ({DOWN} {RUNNING}) AS m FROM e) SELECT user_id, time, m + 0.0 AS robustness FROM f")
+def trace_csv(spark, sf_dir):
+    """Events written as CSV with a header, read back as traces and monitored."""
+    path = _folder(spark)
+    events(spark, sf_dir).with_df(events(spark, sf_dir).df.drop("event_type")).write(path, "csv", header=True)
+    return monitor(TraceSet.read_csv(spark, path, "user_id long, time double, value double", keys="user_id"), always(LOW))
+
+
+@_query("trace_sink", f"WITH e AS ({BASE}) SELECT user_id, time, x AS value, mode AS event_type FROM e")
+def trace_sink(spark, sf_dir):
+    path = _folder(spark)
+    events(spark, sf_dir).write(path)
+    return TraceSet.read(spark, path, keys="user_id", label="event_type").df
+
+
+_ONE = "WITH e AS (SELECT * FROM (" + BASE + ") WHERE user_id = (SELECT min(user_id) FROM events))"
+
+
+def _one_trace(spark, sf_dir) -> TraceSet:
+    """The trace of the user whose id is lowest."""
+    traces = events(spark, sf_dir)
+    return traces.with_df(traces.df.filter(F.col("user_id") == traces.df.agg(F.min("user_id")).first()[0]))
+
+
+@_query("trace_index", f"{_ONE} SELECT user_id, time, x AS value, mode AS event_type FROM e WHERE time = (SELECT max(time) FROM e)")
+def trace_index(spark, sf_dir):
+    traces = _one_trace(spark, sf_dir)
+    return spark.createDataFrame([traces[traces.df.agg(F.max("time")).first()[0]]], traces.df.schema)
+
+
+def _numbered(spark, rows):
+    return spark.createDataFrame([(i, r["time"], r["value"]) for i, r in enumerate(rows)], "place long, time double, value double")
+
+
+@_query("trace_iteration", f"{_ONE} SELECT row_number() OVER (ORDER BY time) - 1 AS place, time, x AS value FROM e")
+def trace_iteration(spark, sf_dir):
+    """One trace, sample by sample."""
+    return _numbered(spark, iter(_one_trace(spark, sf_dir)))
+
+
+@_query("trace_reversed", f"{_ONE} SELECT row_number() OVER (ORDER BY time DESC) - 1 AS place, time, x AS value FROM e")
+def trace_reversed(spark, sf_dir):
+    return _numbered(spark, reversed(_one_trace(spark, sf_dir)))
+
+
+@_query("trace_exact_size", "SELECT count(*) AS n, false AS empty, count(*) FILTER (false) AS n_empty, true AS empty_is FROM events")
+def trace_exact_size(spark, sf_dir):
+    traces, none = events(spark, sf_dir), TraceSet.empty(spark, ["value"])
+    return spark.createDataFrame([(len(traces), traces.is_empty(), len(none), none.is_empty())], "n long, empty boolean, n_empty long, empty_is boolean")
+
+
+@_query("trace_empty", f"SELECT user_id, 0.0::DOUBLE AS time, {TOP} AS robustness FROM events GROUP BY user_id")
+def trace_empty(spark, sf_dir):
+    """Every user has an empty trace, in which a formula holds always without end."""
+    users = events(spark, sf_dir).df.select(F.col("user_id").cast("string").alias("trace_id"))
+    return monitor(TraceSet.empty(spark, ["value"]), always(LOW), all_traces=users).select(F.col("trace_id").cast("long").alias("user_id"), "time", "robustness")
+
+
+@_query("trace_from_pairs", "SELECT * FROM (VALUES ('0', 0.5::DOUBLE, 290.0::DOUBLE, 270.0::DOUBLE), ('0', 2.0, 270.0, 270.0), ('0', 3.25, 299.0, 299.0)) t(trace_id, time, robustness, later)")
+def trace_from_pairs(spark, sf_dir):
+    """From a mapping and from pairs, the later of which count; both sides of a zip."""
+    first = TraceSet.from_samples(spark, {2.0: {"value": 30.0}, 0.5: {"value": 10.0}, 3.25: {"value": 1.0}})
+    again = TraceSet.from_samples(spark, [(3.25, {"value": 9.0}), (0.5, {"value": 10.0}), (2.0, {"value": 30.0}), (3.25, {"value": 1.0})])
+    both = first.zipped(again)
+    out = monitor(both, LOW).join(monitor(again, always(LOW)).withColumnRenamed("robustness", "later"), ["trace_id", "time"])
+    return out.select("trace_id", "time", "robustness", "later")
+
+
+@_query("trace_zip", f"WITH e AS ({BASE}) SELECT user_id, time, (5.0 - (-2.0 * x + x)) + 0.0 AS robustness FROM e")
+def trace_zip(spark, sf_dir):
+    traces = events(spark, sf_dir)
+    doubled = traces.with_df(traces.df.withColumn("value", F.col("value") * 2.0))
+    return monitor(traces.zipped(doubled), Predicate.of(("value", 1.0), ("value_2", -1.0), 5.0))
+
+
+_register("negated_terms", -(LOW + ("value", 2.0) - 4.0), _sql("(-296.0 - -3.0 * x)"))
+_register("until_strict_blocked", until(LOW, HIGH, strict=True), ORACLE_SQL["until_strict"], block_width=86400.0)
+_register("always_halfopen_double_blocked", always(LOW, 60, 86400, closed=False), ORACLE_SQL["always_halfopen_double"], block_width=86400.0)
+
+
+@_query("predicate_access", "SELECT * FROM (VALUES ('height', 2.5::DOUBLE, 7.0::DOUBLE), ('speed', -1.0, 7.0)) t(variable, coefficient, constant)")
+def predicate_access(spark, sf_dir):
+    """Accessors of a predicate that text gives."""
+    p = parse_predicate("2.5 * height + 1 <= speed + 8")
+    assert p.get("depth") is None
+    return spark.createDataFrame([(n, p[n], p.constant) for n in p.variables], "variable string, coefficient double, constant double")
+
+
+_GAPS = "SELECT user_id, time, CASE WHEN mode = 'error' THEN NULL WHEN mode = 'signup' THEN 'nan'::DOUBLE ELSE x END AS x, mode FROM (" + BASE + ")"
+
+
+def _with_gaps(spark, sf_dir) -> TraceSet:
+    """Values of errors are missing, those of signups NaN."""
+    traces, mode = events(spark, sf_dir), F.col("event_type")
+    return traces.map_states({"value": F.when(mode == "error", F.lit(None)).when(mode == "signup", F.lit(float("nan"))).otherwise(F.col("value"))})
+
+
+def _problem_sql(where: str) -> str:
+    return f"WITH e AS ({_GAPS}), f AS (SELECT *, CASE WHEN x IS NULL THEN 'missing' ELSE 'nan' END AS problem FROM e WHERE (x IS NULL OR isnan(x)) AND {where}) SELECT user_id, min(time) AS time, arg_min(problem, time) AS problem, 'value' AS variable FROM f GROUP BY user_id"
+
+
+@_query("predicate_errors", _problem_sql("true"))
+def predicate_errors(spark, sf_dir):
+    """The first sample of every trace whose value can't be used."""
+    return validate(_with_gaps(spark, sf_dir), always(LOW))
+
+
+@_query("hybrid_errors", _problem_sql("mode <> 'error'"))
+def hybrid_errors(spark, sf_dir):
+    """Errors reach no purchase, so no guard asks for their values; signups do."""
+    return validate(_with_gaps(spark, sf_dir), eventually(BUYING))
+
+
+@_query("hybrid_conversions", "SELECT * FROM (VALUES ('2.5', 2, -1, 2.5::DOUBLE), ('(3, -1.5)', 1, 3, -1.5), ('-(3, -1.5)', 1, 3, 1.5), ('meet', 1, 3, -1.5), ('join', 2, -1, 2.5), ('unreachable', 0, -1, NULL)) t(value, rank, hops, dist)")
+def hybrid_conversions(spark, sf_dir):
+    """Hybrid distances from numbers and from (hops, distance), their negation and lattice."""
+    a, b = HybridDistance.of(2.5), HybridDistance.of((3, -1.5))
+    held = {"2.5": a, "(3, -1.5)": b, "-(3, -1.5)": -b, "meet": a.meet(b), "join": a.join(b), "unreachable": a.meet(HybridDistance(0))}
+    return spark.createDataFrame([(n, v.rank, v.hops if v.rank == 1 else -1, v.dist if v.rank else None) for n, v in held.items()], "value string, rank int, hops int, dist double")
+
+
+def _wrong(spark) -> dict:
+    """What goes wrong, by name."""
+    one = lambda **state: TraceSet.from_samples(spark, [(0.0, state)])
+    other = TraceSet.from_samples(spark, [(1.0, {"value": 1.0})])
+    longer = TraceSet.from_samples(spark, [(0.0, {"value": 1.0}), (1.0, {"value": 1.0})])
+    return {
+        "missing variable": lambda: evaluate_one(one(x=1.0), LOW),
+        "coefficient is NaN": lambda: evaluate_one(one(value=1.0), LOW + ("y", float("nan"))),
+        "empty trace": lambda: evaluate_one(TraceSet.empty(spark, ["value"]), LOW),
+        "within always": lambda: evaluate_one(one(x=1.0), always(LOW, 0, 1)),
+        "time is NaN": lambda: TraceSet.from_samples(spark, [(float("nan"), {})]),
+        "no such time": lambda: one(value=1.0)[3.0],
+        "lengths differ": lambda: one(value=1.0).zipped(longer),
+        "times differ": lambda: one(value=1.0).zipped(other),
+        "metrics differ": lambda: evaluate_one(one(value=1.0), And(LOW, BUYING)),
+        "guard is empty": lambda: evaluate_one(TraceSet.from_samples(spark, [(0.0, {"value": 1.0, "m": "a"})], label="m"), HybridPredicate(LOW, {"b"}, Automaton([("a", "b", ())]))),
+        "text goes on": lambda: parse_formula("value <= 3 ) or"),
+        "name is unknown": lambda: parse_hybrid_formula("always buyin", {"buying": BUYING}),
+        "bounds are turned": lambda: parse_formula("always{2,1} value <= 3"),
+    }
+
+
+@_query("errors", "SELECT * FROM (VALUES ('missing variable','MissingVariable'),('coefficient is NaN','NanCoefficient'),('empty trace','EmptyTrace'),('within always','MissingVariable'),('time is NaN','InvalidTrace'),('no such time','KeyError'),('lengths differ','MismatchedLengths'),('times differ','MismatchedTimes'),('metrics differ','MetricMismatch'),('guard is empty','EmptyConstraints'),('text goes on','IncompleteParse'),('name is unknown','MissingPredicate'),('bounds are turned','ParseError')) t(what, error)")
+def errors(spark, sf_dir):
+    out = []
+    for what, run in _wrong(spark).items():
+        try:
+            run()
+            out.append((what, "none"))
+        except (RhoscopeError, KeyError) as error:
+            out.append((what, type(error).__name__))
+    return spark.createDataFrame(out, "what string, error string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every large value is followed by a small one within a day, seen from every event."""
     return QUERIES["response"](spark, sf_dir)
