@@ -129,8 +129,8 @@ class Expression:
     """Recursive descent: or, and, not, comparison, sum, filters, access, atom."""
 
     def __init__(self, source: str):
-        self.source, self.tokens, at = source, [], 0
-        while source[at:].strip():
+        self.source, self.tokens, at, end = source, [], 0, len(source.rstrip())
+        while at < end:
             if not (m := TOKEN.match(source, at)):
                 raise TemplateError(f"can't read {source[at:]!r}")
             self.tokens.append((m.lastgroup, m[m.lastgroup]))
