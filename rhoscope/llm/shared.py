@@ -2,8 +2,9 @@
 
 Mappers send each part of the key space the keys of their texts, packed; a part counts every key and answers
 with the keys that occur more than once; answers come together per group of texts. Only packed keys are
-shuffled (about 6 bytes each), and of the answers only what is shared. A key that a third of all texts hold
-costs a part one entry per text, like any other; parts are sized by the number of all keys.
+shuffled (about 6 bytes each), and of the answers only what is shared. A key that several texts of one slice hold
+is one entry with their number, while the list of those texts stays with the slice; so a key that a third of all
+texts hold costs its part one entry per slice, not per text. Parts are sized by the number of all keys.
 
 Slices of text are named by task and place, so ``documents`` must give the same rows in the same order when a
 lost task runs again: a table does; write anything else to one first, as the pipeline does between stages.
@@ -30,6 +31,10 @@ PART_KEYS, SLICE_BYTES = 1_500_000, 8_000_000
 HASHED_BYTES = 1_000_000
 #: Keys keep their highest 48 bits: by chance two of a pair of texts' keys agree once in 10**9 pairs.
 KEY_BITS = 48
+#: In the place of a text's number: this and how many of a slice's texts hold the key.
+SEVERAL = 1 << 31
+#: Counts end here; nothing but their order and whether they pass a bound is asked of them.
+MOST = (1 << 32) - 1
 
 
 def text_id(text: Column) -> Column:
@@ -67,6 +72,24 @@ def spread(keys: np.ndarray, docs: np.ndarray, parts: int) -> list[tuple[int, np
     return [(p, keys[a:b], docs[a:b]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
 
 
+def combined(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, each one's text or SEVERAL + how many, and the texts of those keys, in key order."""
+    order = np.argsort(keys, kind="stable")
+    keys, docs = keys[order], docs[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if keys.size else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, keys.size])
+    return keys[first], np.where(times > 1, SEVERAL + times, docs[first]), docs[np.repeat(times > 1, times)]
+
+
+def separated(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per key and text again, from combined keys in any order and the texts of the SEVERAL ones."""
+    many = np.flatnonzero(docs >= SEVERAL)
+    many = many[np.argsort(keys[many])]
+    times = (docs[many] - U(SEVERAL)).astype(np.int64)
+    one = docs < SEVERAL
+    return np.r_[keys[one], np.repeat(keys[many], times)], np.r_[docs[one], several], np.r_[counts[one], np.repeat(counts[many], times)]
+
+
 def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], finish: Callable[[int, np.ndarray, np.ndarray], tuple], fields: list[tuple[str, pa.DataType, str]], slice_bytes: int = SLICE_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """Per text: tid, and what ``finish(n_keys, shared keys, their counts)`` makes of its keys.
 
@@ -86,7 +109,8 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
                 lists = [x for a, b in runs(offsets[i : j + 1], HASHED_BYTES) for x in keys_of(offsets[i + a : i + b + 1] - offsets[i + a], data[offsets[i + a] : offsets[i + b]])]
                 sizes = np.array([len(x) for x in lists], np.int64)
                 keys = np.concatenate(lists) >> U(64 - KEY_BITS) if sizes.sum() else np.zeros(0, U)
-                rows = [(p, k, d) for p, k, d in spread(keys, np.repeat(np.arange(j - i, dtype=np.uint32), sizes), parts)]
+                keys, docs, several = combined(keys, np.repeat(np.arange(j - i, dtype=np.uint32), sizes))
+                rows = spread(keys, docs, parts)
                 block = (task << 24) + n
                 n += 1
                 tids = b"".join(batch.column("tid").slice(i, j - i).to_pylist())
@@ -95,17 +119,17 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
                         pa.array([p for p, _, _ in rows] + [block % parts], pa.int32()),
                         pa.array([block] * (len(rows) + 1), pa.int64()),
                         pa.array([pack(k) for _, k, _ in rows] + [tids], pa.binary()),
-                        pa.array([planes(d) for _, _, d in rows] + [None], pa.binary()),
+                        pa.array([planes(d) for _, _, d in rows] + [planes(several)], pa.binary()),
                         pa.array([None] * len(rows) + [sizes.tobytes()], pa.binary()),
                     ],
                     names=["part", "block", "keys", "docs", "sizes"],
                 )
-                del lists, keys, rows
+                del lists, keys, docs, several, rows
                 trim()
 
     def count(table: pa.Table) -> pa.Table:
         blocks, keys, docs, sizes = (table.column(c).to_pylist() for c in ("block", "keys", "docs", "sizes"))
-        out = [(b, k, None, None, s) for b, k, s in zip(blocks, keys, sizes, strict=True) if s is not None]
+        out = [(b, k, d, None, s) for b, k, d, s in zip(blocks, keys, docs, sizes, strict=True) if s is not None]
         own = [i for i, s in enumerate(sizes) if s is None]
         if own:
             lists = [unpack(keys[i]) for i in own]
@@ -113,21 +137,19 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
             every, row = np.concatenate(lists), np.repeat(np.arange(len(own), dtype=np.int32), lengths)
             del lists
             order = np.argsort(every, kind="stable")
-            every = every[order]
+            every, row, doc = every[order], row[order], np.concatenate([unplanes(docs[i]) for i in own])[order]
             first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-            times = np.diff(np.r_[first, every.size])
-            often = np.repeat(times, times)
+            times = np.add.reduceat(np.where(doc >= SEVERAL, doc - U(SEVERAL), U(1)), first)
+            often = np.repeat(np.minimum(times, U(MOST)), np.diff(np.r_[first, every.size]))
             kept = np.flatnonzero(often > 1)
-            order, every, often = order[kept], every[kept], often[kept].astype(U)
-            doc = np.concatenate([unplanes(docs[i]) for i in own])[order]
-            row = row[order]
+            every, row, doc, often = every[kept], row[kept], doc[kept], often[kept]
             back = np.argsort(row, kind="stable")
             edges = np.searchsorted(row[back], np.arange(len(own) + 1))
             for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if a < z:
                     at = back[a:z]
                     out.append((blocks[own[i]], pack(every[at]), planes(doc[at]), planes(often[at]), None))
-            del every, row, order, often, doc, back
+            del every, row, order, times, often, doc, back
             trim()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "keys", "docs", "counts", "sizes"])
 
@@ -139,6 +161,7 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
         rest = [i for i, s in enumerate(sizes) if s is None]
         if rest:
             key, doc, often = np.concatenate([unpack(keys[i]) for i in rest]), np.concatenate([unplanes(docs[i]) for i in rest]), np.concatenate([unplanes(counts[i]) for i in rest])
+            key, doc, often = separated(key, doc, often, unplanes(docs[about]))
             order = np.lexsort((key, often, doc))
             key, doc, often = key[order], doc[order], often[order]
         else:
