@@ -5,14 +5,15 @@ A byte goes if a ``width``-byte string that covers it also starts in a document
 Where the corpus is cut: each window of ``width`` bytes belongs to the smallest hash among the 16-byte strings
 in it, so equal windows belong to equal hashes. Consecutive windows with one hash form a segment (about 66
 bytes for 17 windows). Hashes are counted over the corpus first (shared.py); only segments whose hash occurs
-in several texts travel, equal ones of a task once, to the part of the key space that the hash lies in. A hash
-of more than ``hot`` texts would gather too much in one place; its windows travel one by one, by their own
-hashes.
+in several texts travel, to the part of the key space that the hash lies in. A slice of text sends equal segments
+once, with their smallest and largest doc_ids, and keeps to itself which of its texts hold them where; so a passage
+that a third of all texts hold costs its part one entry per slice, not per text. A hash of more than ``hot`` texts
+would still gather too many different segments in one place; its windows travel one by one, by their own hashes.
 
 In a part, the distinct segments form one string with separators. Its suffixes are sorted in two stages: those
 smaller than their successors directly, by ``width`` bytes; all others by scanning buckets in ascending order
 and placing the predecessor of every suffix met. Common prefixes of neighbours then give the groups of equal
-windows, and each group its smallest doc_id. Exact copies of a text are one text throughout; all but the first
+windows, and each group its smallest doc_id, which goes back to the slices. Exact copies of a text are one text throughout; all but the first
 lose every byte that a window covers.
 
 Cases: a null text is empty; texts shorter than ``width`` lose nothing; a null doc_id is larger than all others
@@ -239,30 +240,33 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
                 n += 1
                 own = offsets[i : j + 1] - offsets[i]
                 raw = data[offsets[i] : offsets[j]]
-                rows = _dealt(raw, own, keys[i:j], often[i:j], lows[i:j], width, parts)
+                rows, held = _dealt(raw, own, keys[i:j], often[i:j], lows[i:j], width, parts)
+                if not rows:
+                    continue
                 tids = b"".join(batch.column("tid").slice(i, j - i).to_pylist())
-                columns = list(zip(*rows, strict=True)) or [()] * 7
+                columns = list(zip(*rows, strict=True))
+                none = [None] * len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*columns[0], block % parts], pa.int32()), pa.array([block] * (len(rows) + 1), pa.int64()), *(pa.array([*c, None], pa.binary()) for c in columns[1:]), pa.array([None] * len(rows) + [tids], pa.binary())],
-                    names=["part", "block", "lows", "lengths", "contents", "content", "doc", "place", "tids"],
+                    [pa.array([*columns[0], block % parts], pa.int32()), pa.array([block] * (len(rows) + 1), pa.int64()), pa.array([*columns[1], None], pa.int64()), *(pa.array([*c, None], pa.binary()) for c in columns[2:]), pa.array([*none, tids], pa.binary()), pa.array([*none, held], pa.binary())],
+                    names=["part", "block", "base", "lows", "lengths", "contents", "tids", "held"],
                 )
-                del rows, columns
+                del rows, columns, held
                 trim()
 
     def match(table: pa.Table) -> pa.Table:
-        blocks, lows, lengths, contents, content, doc, place, tids = (table.column(c).to_pylist() for c in ("block", "lows", "lengths", "contents", "content", "doc", "place", "tids"))
-        out = [(b, None, t) for b, t in zip(blocks, tids, strict=True) if t is not None]
+        blocks, base, lows, lengths, contents, tids, held = (table.column(c).to_pylist() for c in ("block", "base", "lows", "lengths", "contents", "tids", "held"))
+        out = [(b, None, t, h) for b, t, h in zip(blocks, tids, held, strict=True) if t is not None]
         own = [i for i, t in enumerate(tids) if t is None]
         if own:
-            out += _matched([blocks[i] for i in own], [(lows[i], lengths[i], contents[i], content[i], doc[i], place[i]) for i in own], width)
+            out += [(b, a, None, None) for b, a in _matched([blocks[i] for i in own], [base[i] for i in own], [(lows[i], lengths[i], contents[i]) for i in own], width)]
             trim()
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "spans", "tids"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["block", "answers", "tids", "held"])
 
     def gather(table: pa.Table) -> pa.Table:
-        spans, tids = table.column("spans").to_pylist(), table.column("tids").to_pylist()
-        names = next(t for t in tids if t is not None)
-        every = [np.frombuffer(s, np.uint32).reshape(3, -1) for s in spans if s is not None]
-        doc, starts, ends = np.concatenate(every, 1).astype(np.int64) if every else np.zeros((3, 0), np.int64)
+        answers, tids, held = (table.column(c).to_pylist() for c in ("answers", "tids", "held"))
+        about = next(i for i, t in enumerate(tids) if t is not None)
+        names = tids[about]
+        doc, starts, ends = _gone(held[about], [a for a in answers if a is not None], len(names) // 16, width)
         order = np.lexsort((starts, doc))
         doc, starts, ends = doc[order], starts[order], ends[order]
         edges = np.searchsorted(doc, np.arange(len(names) // 16 + 1))
@@ -275,8 +279,8 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
         return pa.table([pa.array(c, pa.binary()) for c in columns], names=["tid", "starts", "ends"])
 
     placed = distinct_texts(documents).join(found, F.col("tid") == F.col("_t")).select("tid", "text", "keys", "often", "low")
-    binary = "lows binary, lengths binary, contents binary, content binary, doc binary, place binary, tids binary"
-    matched = placed.mapInArrow(emit, f"part int, block long, {binary}").groupBy("part").applyInArrow(match, "block long, spans binary, tids binary")
+    emitted = placed.mapInArrow(emit, "part int, block long, base long, lows binary, lengths binary, contents binary, tids binary, held binary")
+    matched = emitted.groupBy("part").applyInArrow(match, "block long, answers binary, tids binary, held binary")
     spans = matched.groupBy("block").applyInArrow(gather, "tid binary, starts binary, ends binary")
     out = settled(spans.groupBy("tid").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")))
     discard(found)
@@ -284,7 +288,10 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
 
 
 def _dealt(raw, offsets, keys, often, lows, width, parts):
-    """Rows (part, lows, lengths, contents, content, doc, place) of a slice: its shared segments, equal ones once."""
+    """Rows (part, base, lows, lengths, contents) of a slice: its shared segments, equal ones once, numbered from base on.
+
+    With them goes what the slice keeps: its texts' doc_ids, and of every segment the text, the place in it, and the number.
+    """
     starts, low, sums = minima(raw, offsets, width)
     first, end = segments(starts, low)
     doc = np.searchsorted(offsets, starts[first], "right") - 1
@@ -306,23 +313,44 @@ def _dealt(raw, offsets, keys, often, lows, width, parts):
         owner = np.r_[owner, np.repeat(doc[hot], sizes)]
         key = np.r_[key, mix(span_hashes(sums, each, each + width)) >> U(64 - KEY_BITS)]
     if not begin.size:
-        return []
+        return [], None
     name = mix(span_hashes(sums, begin, stop) + key)
-    rows = []
-    for part, _, at in spread(key, np.arange(begin.size), parts):
-        _, one, content = np.unique(name[at], return_index=True, return_inverse=True)
-        docs, owners = np.unique(owner[at], return_inverse=True)
-        by_low = np.argsort(lows[docs], kind="stable")
-        rank = np.empty(docs.size, np.int64)
-        rank[by_low] = np.arange(docs.size)
-        one = at[one]
-        lengths = stop[one] - begin[one]
-        bytes_at = np.repeat(begin[one] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        order = np.lexsort((begin[at], rank[owners]))
-        # The documents' numbers in the slice follow their smallest doc_ids.
-        lows_and_docs = len(docs).to_bytes(4, "little") + pack(lows[docs][by_low]) + planes(docs[by_low])
-        rows.append((part, *map(squeezed, (lows_and_docs, planes(lengths), raw[bytes_at].tobytes(), planes(content[order]), planes(rank[owners][order]), planes((begin[at] - offsets[owner[at]])[order])))))
-    return rows
+    _, one, content = np.unique(name, return_index=True, return_inverse=True)
+    least, most = np.full(one.size, LAST, U), np.zeros(one.size, U)
+    np.minimum.at(least, content, lows[owner])
+    np.maximum.at(most, content, lows[owner])
+    rows, number, base = [], np.empty(one.size, np.int64), 0
+    for part, _, at in spread(key[one], np.arange(one.size), parts):
+        at = at[np.lexsort((begin[one[at]], least[at]))]
+        number[at] = np.arange(base, base + at.size)
+        first_byte, lengths = begin[one[at]], (stop - begin)[one[at]]
+        bytes_at = np.repeat(first_byte - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+        rows.append((part, base, *map(squeezed, (pack(least[at]) + pack(most[at] - least[at]), planes(lengths), raw[bytes_at].tobytes()))))
+        base += at.size
+    place = begin - offsets[owner]
+    order = np.lexsort((place, owner))
+    return rows, squeezed(pack(lows) + planes(owner[order]) + planes(place[order]) + planes(number[content[order]]))
+
+
+def _gone(held, answers, n, width):
+    """Texts, starts and ends of what an earlier text holds too, from what a slice of n texts kept and the answers to it."""
+    held, answers = expanded(held), list(map(expanded, answers))
+    lows, m = unpack(held[: 8 * n]), (len(held) - 8 * n) // 12
+    doc, place, number = (unplanes(held[8 * n + 4 * m * k : 8 * n + 4 * m * (k + 1)]).astype(np.int64) for k in range(3))
+    if not answers:
+        return np.zeros((3, 0), np.int64)
+    runs_of = [[unplanes(a[len(a) // 5 * k : len(a) // 5 * (k + 1)]).astype(np.int64) for a in answers] for k in range(3)]
+    segment, opened, closed = map(np.concatenate, runs_of)
+    least = np.concatenate([unpack(a[len(a) // 5 * 3 :]) for a in answers])
+    order = np.argsort(segment, kind="stable")
+    segment, opened, closed, least = segment[order], opened[order], closed[order], least[order]
+    first = np.searchsorted(segment, number)
+    many = np.searchsorted(segment, number, "right") - first
+    run = np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+    at = np.repeat(np.arange(m), many)
+    later = least[run] < lows[doc[at]]
+    run, at = run[later], at[later]
+    return doc[at], place[at] + opened[run], place[at] + closed[run] - 1 + width
 
 
 def _first_minima(sums, starts, width):
@@ -335,8 +363,11 @@ def _first_minima(sums, starts, width):
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def _matched(blocks, rows, width):
-    """(block, spans, None): for each row the spans of its documents that an earlier document's segment holds."""
+def _matched(blocks, bases, rows, width):
+    """(block, answer): for each row runs of its segments' windows with the smallest doc_id that holds them.
+
+    Runs that no text of the row comes after are left out.
+    """
     rows = [tuple(map(expanded, r)) for r in rows]
     lengths = [unplanes(r[1]).astype(np.int64) for r in rows]
     contents = b"".join(r[2] for r in rows)
@@ -345,16 +376,14 @@ def _matched(blocks, rows, width):
     ends = np.cumsum(length)
     sums = prefix_hashes(raw, BYTE_VALUES)
     _, one, distinct = np.unique(span_hashes(sums, ends - length, ends), return_index=True, return_inverse=True)
-    own, base = [], 0
+    own, at = [], 0
     owners = np.full(one.size, LAST, U)
     for r, own_lengths in zip(rows, lengths, strict=True):
-        n = int.from_bytes(r[0][:4], "little")
-        low, docs = unpack(r[0][4 : 4 + 8 * n]), unplanes(r[0][4 + 8 * n :])
-        content = distinct[unplanes(r[3]).astype(np.int64) + base]
-        doc = unplanes(r[4]).astype(np.int64)
-        np.minimum.at(owners, content, low[doc])
-        own.append((low[doc], docs[doc], content, unplanes(r[5]).astype(np.int64)))
-        base += own_lengths.size
+        n = own_lengths.size
+        content, low = distinct[at : at + n], unpack(r[0][: 8 * n])
+        np.minimum.at(owners, content, low)
+        own.append((content, low + unpack(r[0][8 * n :])))
+        at += n
     size = length[one]
     windows = size - width + 1
     first = np.r_[0, np.cumsum(windows)]
@@ -368,22 +397,21 @@ def _matched(blocks, rows, width):
         at = np.repeat(ends[one[some]] - n - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         found, begin = smallest_owners(raw[at].tobytes(), n, owners[some], width)
         least[np.repeat(first[some] - begin[:-1], windows[some]) + np.arange(found.size)] = found
-    lowest = np.minimum.reduceat(least, first[:-1]) if least.size else least
+    edge = np.r_[True, least[1:] != least[:-1]]
+    edge[first[:-1]] = True
+    opened = np.flatnonzero(edge)
+    closed, run_of = np.r_[opened[1:], least.size], np.searchsorted(opened, first)
     out = []
-    for block, (low, docs, content, place) in zip(blocks, own, strict=True):
-        some = np.flatnonzero(lowest[content] < low)
-        if not some.size:
+    for block, base, (content, most) in zip(blocks, bases, own, strict=True):
+        many = (run_of[1:] - run_of[:-1])[content]
+        place = np.repeat(np.arange(content.size), many)
+        run = np.repeat(run_of[content] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        some = least[opened[run]] < most[place]
+        if not some.any():
             continue
-        low, docs, content, place = low[some], docs[some].astype(np.int64), content[some], place[some]
-        many = windows[content]
-        step = np.arange(many.sum()) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-        gone = least[np.repeat(first[content], many) + step] < np.repeat(low, many)
-        doc, start = np.repeat(docs, many)[gone], (np.repeat(place, many) + step)[gone]
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        opened = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > width)])
-        closed = np.r_[opened[1:] - 1, start.size - 1]
-        out.append((block, np.stack([doc[opened], start[opened], start[closed] + width]).astype(np.uint32).tobytes(), None))
+        place, run = place[some], run[some]
+        begin = first[content[place]]
+        out.append((block, squeezed(planes(base + place) + planes(opened[run] - begin) + planes(closed[run] - begin) + pack(least[opened[run]]))))
     return out
 
 

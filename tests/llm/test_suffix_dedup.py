@@ -71,3 +71,24 @@ def test_empty_table_and_repeated_rows(spark):
     assert suffix_dedup.repeat_digests(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, "y" * 60), (1, "y" * 60), (2, "y" * 60)]
     assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.repeat_digests(spark.createDataFrame(rows, schema)).collect()) == [(1, 0), (1, 0), (2, 60)]
+
+
+def test_a_passage_of_all_texts_is_one_entry_of_a_slice():
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(1000))
+
+    def sent(n):
+        texts = [f"{i:06d}{passage}{i:06d}" for i in range(n)]
+        raw, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.arange(n + 1) * 1012
+        keys = [np.unique(k >> np.uint64(64 - suffix_dedup.KEY_BITS)) for k in suffix_dedup._keys(50)(offsets, raw)]
+        [(_, base, *packed)], held = suffix_dedup._dealt(raw, offsets, [k.tobytes() for k in keys], [bytes(k.size) for k in keys], np.arange(n, dtype=np.uint64), 50, 1)
+        doc, begin, end = suffix_dedup._gone(held, [a for _, a in suffix_dedup._matched([7], [base], [tuple(packed)], 50)], n, 50)
+        gone = np.zeros((n, 1013), int)
+        np.add.at(gone, (doc, begin), 1)
+        np.add.at(gone, (doc, end), -1)
+        assert [r[2] for r in plain(list(enumerate(texts)), 50)] == (gone.cumsum(1) > 0).sum(1).tolist()
+        return len(suffix_dedup.expanded(packed[1])) // 4, sum(k.size for k in keys)
+
+    (few, few_segments), (many, many_segments) = sent(40), sent(80)
+    # Only segments at the passage's two ends differ from text to text.
+    assert many - few <= 40 * 8 and many_segments - few_segments > 40 * 30
