@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscope.llm.common import BYTE_VALUES, U, discard, mix, pack, prefix_hashes, runs, settled, span_hashes, texts_of, trim, unpack
-from rhoscope.llm.shared import KEY_BITS, distinct_texts, planes, shared_keys, spread, text_classes, unplanes
+from rhoscope.llm.common import BYTE_VALUES, U, discard, mix, pack, powers, prefix_hashes, runs, settled, span_hashes, texts_of, trim, unpack
+from rhoscope.llm.shared import HASHED_BYTES, KEY_BITS, distinct_texts, planes, shared_keys, spread, text_classes, unplanes
 
 GRAM = 16
 PART_BYTES = 4_000_000
@@ -48,8 +48,8 @@ def minima(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     starts = np.repeat(offsets[:-1] - np.r_[0, np.cumsum(windows)[:-1]], windows) + np.arange(windows.sum())
     if not starts.size:
         return starts, np.zeros(0, U), sums
-    at = np.arange(data.size - GRAM + 1)
-    low = span_hashes(sums, at, at + GRAM)
+    # span_hashes of every place, without lists of places.
+    low = mix((sums[GRAM:] - sums[:-GRAM]) * powers(sums.size)[1][: sums.size - GRAM] + U(GRAM))
     reach, span = 1, width - GRAM + 1
     while reach < span:
         step = min(reach, span - reach)
@@ -165,16 +165,18 @@ def common_prefixes(order: np.ndarray, packed: tuple[np.ndarray, int, int], most
     return np.minimum(out, most)
 
 
-def smallest_owners(contents: bytes, lengths: np.ndarray, owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def smallest_owners(raw: np.ndarray, lengths: np.ndarray, owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each distinct segment's windows, in order, the smallest owner of any segment that holds the window.
 
     Also the place of each segment's first window in that list.
     """
-    raw = np.frombuffer(contents, np.uint8)
     ends = np.cumsum(lengths)
     # UTF-8 has no byte above 0xF4, so one more leaves 0 for the separator.
     text = np.zeros(raw.size + lengths.size, np.uint8)
-    text[np.arange(raw.size) + np.repeat(np.arange(lengths.size), lengths)] = raw + 1
+    inside = np.ones(text.size, bool)
+    inside[ends + np.arange(lengths.size)] = False
+    text[inside] = raw + 1
+    del inside
     begin = ends - lengths + np.arange(lengths.size)
     windows = lengths - width + 1
     first = np.r_[0, np.cumsum(windows)]
@@ -323,9 +325,8 @@ def _dealt(raw, offsets, keys, often, lows, width, parts):
     for part, _, at in spread(key[one], np.arange(one.size), parts):
         at = at[np.lexsort((begin[one[at]], least[at]))]
         number[at] = np.arange(base, base + at.size)
-        first_byte, lengths = begin[one[at]], (stop - begin)[one[at]]
-        bytes_at = np.repeat(first_byte - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        rows.append((part, base, *map(squeezed, (pack(least[at]) + pack(most[at] - least[at]), planes(lengths), raw[bytes_at].tobytes()))))
+        lengths = (stop - begin)[one[at]]
+        rows.append((part, base, *map(squeezed, (pack(least[at]) + pack(most[at] - least[at]), planes(lengths), _selected(raw, begin[one[at]], lengths).tobytes()))))
         base += at.size
     place = begin - offsets[owner]
     order = np.lexsort((place, owner))
@@ -363,6 +364,17 @@ def _first_minima(sums, starts, width):
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def _hashes(raw, lengths, of):
+    """What ``of`` makes of prefix hashes, starts and ends of segments that follow one another, some at a time."""
+    edges = np.r_[0, np.cumsum(lengths)]
+    out = [of(prefix_hashes(raw[edges[i] : edges[j]], BYTE_VALUES), edges[i:j] - edges[i], edges[i + 1 : j + 1] - edges[i]) for i, j in runs(edges, HASHED_BYTES)]
+    return np.concatenate(out) if out else np.zeros(0, U)
+
+
+def _selected(raw, starts, lengths):
+    return raw[np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())]
+
+
 def _matched(blocks, bases, rows, width):
     """(block, answer): for each row runs of its segments' windows with the smallest doc_id that holds them.
 
@@ -370,32 +382,31 @@ def _matched(blocks, bases, rows, width):
     """
     rows = [tuple(map(expanded, r)) for r in rows]
     lengths = [unplanes(r[1]).astype(np.int64) for r in rows]
-    contents = b"".join(r[2] for r in rows)
+    raw = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    rows = [r[0] for r in rows]
     length = np.concatenate(lengths)
-    raw = np.frombuffer(contents, np.uint8)
-    ends = np.cumsum(length)
-    sums = prefix_hashes(raw, BYTE_VALUES)
-    _, one, distinct = np.unique(span_hashes(sums, ends - length, ends), return_index=True, return_inverse=True)
+    _, one, distinct = np.unique(_hashes(raw, length, span_hashes), return_index=True, return_inverse=True)
+    raw = _selected(raw, (np.cumsum(length) - length)[one], length[one])
     own, at = [], 0
     owners = np.full(one.size, LAST, U)
     for r, own_lengths in zip(rows, lengths, strict=True):
         n = own_lengths.size
-        content, low = distinct[at : at + n], unpack(r[0][: 8 * n])
+        content, low = distinct[at : at + n], unpack(r[: 8 * n])
         np.minimum.at(owners, content, low)
-        own.append((content, low + unpack(r[0][8 * n :])))
+        own.append((content, low + unpack(r[8 * n :])))
         at += n
     size = length[one]
     windows = size - width + 1
     first = np.r_[0, np.cumsum(windows)]
-    least = np.repeat(owners, windows)
     # Equal windows have one smallest hash; a segment that is alone with its hash shares no window.
-    low = _first_minima(sums, ends[one] - size, width)
+    low = _hashes(raw, size, lambda sums, starts, ends: _first_minima(sums, starts, width))
     _, alike, times = np.unique(low, return_inverse=True, return_counts=True)
     some = np.flatnonzero(times[alike] > 1)
     if some.size:
-        n = size[some]
-        at = np.repeat(ends[one[some]] - n - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        found, begin = smallest_owners(raw[at].tobytes(), n, owners[some], width)
+        raw, n = _selected(raw, (np.cumsum(size) - size)[some], size[some]), size[some]
+        found, begin = smallest_owners(raw, n, owners[some], width)
+    least = np.repeat(owners, windows)
+    if some.size:
         least[np.repeat(first[some] - begin[:-1], windows[some]) + np.arange(found.size)] = found
     edge = np.r_[True, least[1:] != least[:-1]]
     edge[first[:-1]] = True
