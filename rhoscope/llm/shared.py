@@ -66,19 +66,31 @@ def distinct_texts(documents: DataFrame) -> DataFrame:
 
 def spread(keys: np.ndarray, docs: np.ndarray, parts: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Keys (48 bits) and what belongs to them, in key order, by part of the key space."""
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        keys, docs = keys[order], docs[order]
+        del order
     edges = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.float64) / parts * 2.0**KEY_BITS).astype(U))
     return [(p, keys[a:b], docs[a:b]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
 
 
+def laid_out(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The highest bits of all texts' keys, and the numbers of the texts; ``lists`` is emptied, as both need not be held."""
+    docs = np.repeat(np.arange(len(lists), dtype=np.uint32), [len(x) for x in lists])
+    keys = np.concatenate([np.zeros(0, U), *lists])
+    lists.clear()
+    keys >>= U(64 - KEY_BITS)
+    return keys, docs
+
+
 def combined(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, each one's text or SEVERAL + how many, and the texts of those keys, in key order."""
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
+    del order
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if keys.size else np.zeros(0, np.int64)
-    times = np.diff(np.r_[first, keys.size])
-    return keys[first], np.where(times > 1, SEVERAL + times, docs[first]), docs[np.repeat(times > 1, times)]
+    times = np.diff(np.r_[first, keys.size]).astype(np.uint32)
+    return keys[first], np.where(times > 1, np.uint32(SEVERAL) + times, docs[first]), docs[np.repeat(times > 1, times)]
 
 
 def separated(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,8 +120,7 @@ def shared_keys(documents: DataFrame, total_keys: int, keys_of: Callable[[np.nda
             for i, j in runs(offsets, slice_bytes):
                 lists = [x for a, b in runs(offsets[i : j + 1], HASHED_BYTES) for x in keys_of(offsets[i + a : i + b + 1] - offsets[i + a], data[offsets[i + a] : offsets[i + b]])]
                 sizes = np.array([len(x) for x in lists], np.int64)
-                keys = np.concatenate(lists) >> U(64 - KEY_BITS) if sizes.sum() else np.zeros(0, U)
-                keys, docs, several = combined(keys, np.repeat(np.arange(j - i, dtype=np.uint32), sizes))
+                keys, docs, several = combined(*laid_out(lists))
                 rows = spread(keys, docs, parts)
                 block = (task << 24) + n
                 n += 1
