@@ -5,15 +5,18 @@ A byte goes if a ``width``-byte string that covers it also starts in a document
 Where the corpus is cut: each window of ``width`` bytes belongs to the smallest hash among the 16-byte strings
 in it, so equal windows belong to equal hashes. Consecutive windows with one hash form a segment (about 66
 bytes for 17 windows). Hashes are counted over the corpus first (shared.py); only segments whose hash occurs
-in several texts travel, to the part of the key space that the hash lies in. A slice of text sends equal segments
+in several texts travel, to the part of the key space that the hash lies in. A block of text sends equal segments
 once, with their smallest and largest doc_ids, and keeps to itself which of its texts hold them where; so a passage
-that a third of all texts hold costs its part one entry per slice, not per text. A hash of more than ``hot`` texts
+that a third of all texts hold costs its part one entry per block, not per text. A hash of more than ``hot`` texts
 would still gather too many different segments in one place; its windows travel one by one, by their own hashes.
+A row of the exchange holds what one block has for a group of parts. A block is as large as memory lets it be, though
+its bytes are hashed in smaller slices, and a large corpus has several parts in a group; else rows, of which there are
+blocks times groups, would soon cost more than what they hold.
 
-In a part, the distinct segments form one string with separators. Its suffixes are sorted in two stages: those
+A group's parts are worked on one after another. In a part, the distinct segments form one string with separators. Its suffixes are sorted in two stages: those
 smaller than their successors directly, by ``width`` bytes; all others by scanning buckets in ascending order
 and placing the predecessor of every suffix met. Common prefixes of neighbours then give the groups of equal
-windows, and each group its smallest doc_id, which goes back to the slices. Exact copies of a text are one text throughout; all but the first
+windows, and each of these its smallest doc_id, which goes back to the blocks. Exact copies of a text are one text throughout; all but the first
 lose every byte that a window covers.
 
 Cases: a null text is empty; texts shorter than ``width`` lose nothing; a null doc_id is larger than all others
@@ -32,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rhoscope.llm.common import BYTE_VALUES, U, discard, mix, pack, powers, prefix_hashes, runs, settled, span_hashes, texts_of, trim, unpack
-from rhoscope.llm.shared import HASHED_BYTES, KEY_BITS, distinct_texts, planes, shared_keys, spread, text_classes, unplanes
+from rhoscope.llm.shared import HASHED_BYTES, KEY_BITS, distinct_texts, planes, shared_keys, text_classes, unplanes
 
 GRAM = 16
 PART_BYTES = 4_000_000
-SLICE_BYTES = 2_000_000
+#: Bytes of text that are hashed at once, and that rows of the exchange are made of.
+SLICE_BYTES, BLOCK_BYTES = 2_000_000, 16_000_000
+#: Groups of parts there are at least before a group holds several, and parts of a group at most.
+LEAST_GROUPS, GROUP_PARTS = 128, 8
 LAST = (1 << 64) - 1
 
 
@@ -230,6 +236,8 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
     lows = classes.groupBy(F.col("tid").alias("_l")).agg(F.min("doc_id").alias("low"))
     found = settled(found.groupBy("tid").agg(*(F.first(c).alias(c) for c in ("keys", "often", "e"))).join(lows, F.col("tid") == F.col("_l")).select(F.col("tid").alias("_t"), "keys", "often", "e", F.col("low").cast("long").alias("low")))
     parts = max(1, -(-(found.agg(F.coalesce(F.sum("e"), F.lit(0))).first()[0] * 70) // PART_BYTES))
+    group = parts_of_group(parts)
+    groups = -(-parts // group)
 
     def emit(batches):
         task, n = TaskContext.get().partitionId(), 0
@@ -237,30 +245,30 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
             offsets, data = texts_of(batch.column("text"))
             lows = np.array([LAST if v is None else v + (1 << 63) for v in batch.column("low").to_pylist()], U)
             keys, often = batch.column("keys").to_pylist(), batch.column("often").to_pylist()
-            for i, j in runs(offsets, SLICE_BYTES):
+            for i, j in runs(offsets, BLOCK_BYTES):
                 block = (task << 24) + n
                 n += 1
                 own = offsets[i : j + 1] - offsets[i]
                 raw = data[offsets[i] : offsets[j]]
-                rows, held = _dealt(raw, own, keys[i:j], often[i:j], lows[i:j], width, parts)
+                rows, held = _dealt(raw, own, keys[i:j], often[i:j], lows[i:j], width, parts, group)
                 if not rows:
                     continue
                 tids = b"".join(batch.column("tid").slice(i, j - i).to_pylist())
                 columns = list(zip(*rows, strict=True))
                 none = [None] * len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*columns[0], block % parts], pa.int32()), pa.array([block] * (len(rows) + 1), pa.int64()), pa.array([*columns[1], None], pa.int64()), *(pa.array([*c, None], pa.binary()) for c in columns[2:]), pa.array([*none, tids], pa.binary()), pa.array([*none, held], pa.binary())],
-                    names=["part", "block", "base", "lows", "lengths", "contents", "tids", "held"],
+                    [pa.array([*columns[0], block % groups], pa.int32()), pa.array([block] * (len(rows) + 1), pa.int64()), pa.array([*columns[1], None], pa.int64()), *(pa.array([*c, None], pa.binary()) for c in columns[2:]), pa.array([*none, tids], pa.binary()), pa.array([*none, held], pa.binary())],
+                    names=["group", "block", "base", "lows", "lengths", "contents", "counts", "tids", "held"],
                 )
                 del rows, columns, held
                 trim()
 
     def match(table: pa.Table) -> pa.Table:
-        blocks, base, lows, lengths, contents, tids, held = (table.column(c).to_pylist() for c in ("block", "base", "lows", "lengths", "contents", "tids", "held"))
+        blocks, base, lows, lengths, contents, counts, tids, held = (table.column(c).to_pylist() for c in ("block", "base", "lows", "lengths", "contents", "counts", "tids", "held"))
         out = [(b, None, t, h) for b, t, h in zip(blocks, tids, held, strict=True) if t is not None]
         own = [i for i, t in enumerate(tids) if t is None]
         if own:
-            out += [(b, a, None, None) for b, a in _matched([blocks[i] for i in own], [base[i] for i in own], [(lows[i], lengths[i], contents[i]) for i in own], width)]
+            out += [(b, a, None, None) for b, a in _matched([blocks[i] for i in own], [base[i] for i in own], [(lows[i], lengths[i], contents[i], counts[i]) for i in own], width)]
             trim()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["block", "answers", "tids", "held"])
 
@@ -281,19 +289,56 @@ def repeated_spans(documents: DataFrame, classes: DataFrame, width: int, hot: in
         return pa.table([pa.array(c, pa.binary()) for c in columns], names=["tid", "starts", "ends"])
 
     placed = distinct_texts(documents).join(found, F.col("tid") == F.col("_t")).select("tid", "text", "keys", "often", "low")
-    emitted = placed.mapInArrow(emit, "part int, block long, base long, lows binary, lengths binary, contents binary, tids binary, held binary")
-    matched = emitted.groupBy("part").applyInArrow(match, "block long, answers binary, tids binary, held binary")
+    emitted = placed.mapInArrow(emit, "group int, block long, base long, lows binary, lengths binary, contents binary, counts binary, tids binary, held binary")
+    matched = emitted.groupBy("group").applyInArrow(match, "block long, answers binary, tids binary, held binary")
     spans = matched.groupBy("block").applyInArrow(gather, "tid binary, starts binary, ends binary")
     out = settled(spans.groupBy("tid").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")))
     discard(found)
     return out
 
 
-def _dealt(raw, offsets, keys, often, lows, width, parts):
-    """Rows (part, base, lows, lengths, contents) of a slice: its shared segments, equal ones once, numbered from base on.
+def parts_of_group(parts: int) -> int:
+    return min(GROUP_PARTS, max(1, parts // LEAST_GROUPS))
 
-    With them goes what the slice keeps: its texts' doc_ids, and of every segment the text, the place in it, and the number.
+
+def _dealt(raw, offsets, keys, often, lows, width, parts, group=1):
+    """Rows (group, base, lows, lengths, contents, counts) of a block: its shared segments, equal ones once, numbered from base on.
+
+    counts says how many of a row's segments, which come in the order of parts, each part of the group has. With them goes
+    what the block keeps: its texts' doc_ids, and of every segment the text, the place in it, and the number.
     """
+    found = []
+    for i, j in runs(offsets, SLICE_BYTES):
+        begin, stop, owner, *names = _shared_segments(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], often[i:j], width)
+        found.append((begin + offsets[i], stop + offsets[i], owner + i, *names))
+    begin, stop, owner, key, name = map(np.concatenate, zip(*found, strict=True))
+    del found
+    if not begin.size:
+        return [], None
+    _, one, content = np.unique(name, return_index=True, return_inverse=True)
+    del name
+    least, most = np.full(one.size, LAST, U), np.zeros(one.size, U)
+    np.minimum.at(least, content, lows[owner])
+    np.maximum.at(most, content, lows[owner])
+    part = np.searchsorted((np.arange(1, parts, dtype=np.float64) / parts * 2.0**KEY_BITS).astype(U), key[one], "right")
+    order = np.lexsort((begin[one], least, part))
+    number = np.empty(one.size, np.int64)
+    number[order] = np.arange(one.size)
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = []
+    for first in range(0, parts, group):
+        own = edges[first : first + group + 1]
+        at = order[own[0] : own[-1]]
+        if at.size:
+            lengths = (stop - begin)[one[at]]
+            rows.append((first // group, int(own[0]), *map(squeezed, (pack(least[at]) + pack(most[at] - least[at]), planes(lengths), _selected(raw, begin[one[at]], lengths).tobytes())), planes(np.diff(own))))
+    place = begin - offsets[owner]
+    order = np.lexsort((place, owner))
+    return rows, squeezed(pack(lows) + planes(owner[order]) + planes(place[order]) + planes(number[content[order]]))
+
+
+def _shared_segments(raw, offsets, keys, often, width):
+    """Start, end, text, key and name of the segments of a slice that other texts may hold; equal segments have one name."""
     starts, low, sums = minima(raw, offsets, width)
     first, end = segments(starts, low)
     doc = np.searchsorted(offsets, starts[first], "right") - 1
@@ -314,27 +359,11 @@ def _dealt(raw, offsets, keys, often, lows, width, parts):
         begin, stop = np.r_[begin, each], np.r_[stop, each + width]
         owner = np.r_[owner, np.repeat(doc[hot], sizes)]
         key = np.r_[key, mix(span_hashes(sums, each, each + width)) >> U(64 - KEY_BITS)]
-    if not begin.size:
-        return [], None
-    name = mix(span_hashes(sums, begin, stop) + key)
-    _, one, content = np.unique(name, return_index=True, return_inverse=True)
-    least, most = np.full(one.size, LAST, U), np.zeros(one.size, U)
-    np.minimum.at(least, content, lows[owner])
-    np.maximum.at(most, content, lows[owner])
-    rows, number, base = [], np.empty(one.size, np.int64), 0
-    for part, _, at in spread(key[one], np.arange(one.size), parts):
-        at = at[np.lexsort((begin[one[at]], least[at]))]
-        number[at] = np.arange(base, base + at.size)
-        lengths = (stop - begin)[one[at]]
-        rows.append((part, base, *map(squeezed, (pack(least[at]) + pack(most[at] - least[at]), planes(lengths), _selected(raw, begin[one[at]], lengths).tobytes()))))
-        base += at.size
-    place = begin - offsets[owner]
-    order = np.lexsort((place, owner))
-    return rows, squeezed(pack(lows) + planes(owner[order]) + planes(place[order]) + planes(number[content[order]]))
+    return begin, stop, owner, key, mix(span_hashes(sums, begin, stop) + key)
 
 
 def _gone(held, answers, n, width):
-    """Texts, starts and ends of what an earlier text holds too, from what a slice of n texts kept and the answers to it."""
+    """Texts, starts and ends of what an earlier text holds too, from what a block of n texts kept and the answers to it."""
     held, answers = expanded(held), list(map(expanded, answers))
     lows, m = unpack(held[: 8 * n]), (len(held) - 8 * n) // 12
     doc, place, number = (unplanes(held[8 * n + 4 * m * k : 8 * n + 4 * m * (k + 1)]).astype(np.int64) for k in range(3))
@@ -380,27 +409,51 @@ def _matched(blocks, bases, rows, width):
 
     Runs that no text of the row comes after are left out.
     """
-    rows = [tuple(map(expanded, r)) for r in rows]
-    lengths = [unplanes(r[1]).astype(np.int64) for r in rows]
-    raw = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-    rows = [r[0] for r in rows]
-    length = np.concatenate(lengths)
-    _, one, distinct = np.unique(_hashes(raw, length, span_hashes), return_index=True, return_inverse=True)
+    cuts = [np.r_[0, np.cumsum(unplanes(r[3]).astype(np.int64))] for r in rows]
+    lengths = [unplanes(expanded(r[1])).astype(np.int64) for r in rows]
+    ends = [np.r_[0, np.cumsum(n)][c].tolist() for n, c in zip(lengths, cuts, strict=True)]
+    raw = [np.frombuffer(expanded(r[2]), np.uint8) for r in rows]
+    cuts, lows, overs = [c.tolist() for c in cuts], [], []
+    for r, n in zip(rows, lengths, strict=True):
+        low = expanded(r[0])
+        lows.append(unpack(low[: 8 * n.size]))
+        overs.append(unpack(low[8 * n.size :]))
+    del rows
+    out = []
+    for q in range(len(cuts[0]) - 1):
+        own = [i for i, c in enumerate(cuts) if c[q] < c[q + 1]]
+        if not own:
+            continue
+        low, over, length = (np.concatenate([x[i][cuts[i][q] : cuts[i][q + 1]] for i in own]) for x in (lows, overs, lengths))
+        place, *runs_of = _part_matched(np.concatenate([raw[i][ends[i][q] : ends[i][q + 1]] for i in own]), length, low, low + over, width)
+        sizes = np.array([cuts[i][q + 1] - cuts[i][q] for i in own])
+        row = np.repeat(own, sizes)[place]
+        number = np.repeat([bases[i] + cuts[i][q] for i in own] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)[place] + place
+        out.append((row, number, *runs_of))
+    row, number, opened, closed, least = map(np.concatenate, zip(*out, strict=True))
+    del out
+    order = np.argsort(row, kind="stable")
+    edges = np.searchsorted(row[order], np.arange(len(blocks) + 1))
+    answers = []
+    for block, a, b in zip(blocks, edges[:-1], edges[1:], strict=True):
+        if a < b:
+            at = order[a:b]
+            answers.append((block, squeezed(planes(number[at]) + planes(opened[at]) + planes(closed[at]) + pack(least[at]))))
+    return answers
+
+
+def _part_matched(raw, length, low, most, width):
+    """Segment, first and last window and smallest doc_id of runs of a part's segments' windows; low and most are each one's doc_ids."""
+    _, one, content = np.unique(_hashes(raw, length, span_hashes), return_index=True, return_inverse=True)
     raw = _selected(raw, (np.cumsum(length) - length)[one], length[one])
-    own, at = [], 0
     owners = np.full(one.size, LAST, U)
-    for r, own_lengths in zip(rows, lengths, strict=True):
-        n = own_lengths.size
-        content, low = distinct[at : at + n], unpack(r[: 8 * n])
-        np.minimum.at(owners, content, low)
-        own.append((content, low + unpack(r[8 * n :])))
-        at += n
+    np.minimum.at(owners, content, low)
     size = length[one]
     windows = size - width + 1
     first = np.r_[0, np.cumsum(windows)]
     # Equal windows have one smallest hash; a segment that is alone with its hash shares no window.
-    low = _hashes(raw, size, lambda sums, starts, ends: _first_minima(sums, starts, width))
-    _, alike, times = np.unique(low, return_inverse=True, return_counts=True)
+    gram = _hashes(raw, size, lambda sums, starts, ends: _first_minima(sums, starts, width))
+    _, alike, times = np.unique(gram, return_inverse=True, return_counts=True)
     some = np.flatnonzero(times[alike] > 1)
     if some.size:
         raw, n = _selected(raw, (np.cumsum(size) - size)[some], size[some]), size[some]
@@ -412,18 +465,13 @@ def _matched(blocks, bases, rows, width):
     edge[first[:-1]] = True
     opened = np.flatnonzero(edge)
     closed, run_of = np.r_[opened[1:], least.size], np.searchsorted(opened, first)
-    out = []
-    for block, base, (content, most) in zip(blocks, bases, own, strict=True):
-        many = (run_of[1:] - run_of[:-1])[content]
-        place = np.repeat(np.arange(content.size), many)
-        run = np.repeat(run_of[content] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        some = least[opened[run]] < most[place]
-        if not some.any():
-            continue
-        place, run = place[some], run[some]
-        begin = first[content[place]]
-        out.append((block, squeezed(planes(base + place) + planes(opened[run] - begin) + planes(closed[run] - begin) + pack(least[opened[run]]))))
-    return out
+    many = np.diff(run_of)[content]
+    place = np.repeat(np.arange(content.size), many)
+    run = np.repeat(run_of[content] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+    some = least[opened[run]] < most[place]
+    place, run = place[some], run[some]
+    begin = first[content[place]]
+    return place, opened[run] - begin, closed[run] - begin, least[opened[run]]
 
 
 def remove_repeats(documents: DataFrame, width: int = 50, hot: int = 50_000) -> DataFrame:

@@ -92,3 +92,52 @@ def test_a_passage_of_all_texts_is_one_entry_of_a_slice():
     (few, few_segments), (many, many_segments) = sent(40), sent(80)
     # Only segments at the passage's two ends differ from text to text.
     assert many - few <= 40 * 8 and many_segments - few_segments > 40 * 30
+
+
+@pytest.mark.parametrize("parts", [5, 40, 43])
+def test_a_block_of_many_slices_is_one_row_of_a_group_of_parts(monkeypatch, parts):
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1500)
+    rows = sorted((d, t) for d, t in corpus() if d is not None and len((t or "").encode()) >= 50)
+    random.Random(3).shuffle(rows)
+    matched, blocks, n_rows = {}, [], 0
+    for block, own in enumerate((rows[:70], rows[70:])):
+        raw = [t.encode() for _, t in own]
+        offsets, data = np.r_[0, np.cumsum([len(t) for t in raw])], np.frombuffer(b"".join(raw), np.uint8)
+        assert data.size > 4 * suffix_dedup.SLICE_BYTES
+        keys = [np.unique(k >> np.uint64(64 - suffix_dedup.KEY_BITS)) for k in suffix_dedup._keys(50)(offsets, data)]
+        lows = np.array([d + 10**6 for d, _ in own], np.uint64)
+        dealt, held = suffix_dedup._dealt(data, offsets, [k.tobytes() for k in keys], [(k % np.uint64(5) == 0).tobytes() for k in keys], lows, 50, parts, 8)
+        for group, base, *packed in dealt:
+            matched.setdefault(group, []).append((block, base, tuple(packed)))
+        n_rows += len(dealt)
+        blocks.append((held, own))
+    assert n_rows <= 2 * -(-parts // 8)
+    answers = [x for m in matched.values() for x in suffix_dedup._matched(*zip(*m, strict=True), 50)]
+    got = {}
+    for block, (held, own) in enumerate(blocks):
+        doc, begin, end = suffix_dedup._gone(held, [a for b, a in answers if b == block], len(own), 50)
+        for i, (d, t) in enumerate(own):
+            gone = np.zeros(len(t.encode()), bool)
+            for a, b in zip(begin[doc == i], end[doc == i], strict=True):
+                gone[a:b] = True
+            got[d] = int(gone.sum())
+    assert got == {r[0]: r[2] for r in plain(rows, 50)}
+
+
+def test_rows_of_a_large_corpus_keep_their_size():
+    # 10 GB of text, a quarter or all of its segments shared.
+    for shared in (0.25, 1):
+        text = 10**10
+        parts = int(text / 18 * shared * 70 / suffix_dedup.PART_BYTES)
+        rows = text / suffix_dedup.BLOCK_BYTES * -(-parts // suffix_dedup.parts_of_group(parts))
+        assert text / rows > 10_000
+
+
+def test_groups_of_parts_and_several_blocks(spark, monkeypatch):
+    for name, value in (("PART_BYTES", 1000), ("BLOCK_BYTES", 5000), ("LEAST_GROUPS", 3)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    key = lambda r: (r[0] is None, r[0], r[4])
+    digests = sorted((tuple(r) for r in suffix_dedup.repeat_digests(df).collect()), key=key)
+    assert digests == [r[:5] for r in sorted(plain(rows, 50), key=key)]
