@@ -49,28 +49,29 @@ def _visits(df: DataFrame, time: str, interval: Interval, width: float) -> DataF
     """Every sample in its own block and in those whose windows reach it; ``_home`` is its own."""
     if math.isinf(interval.low) or math.isinf(interval.high):
         raise ValueError("a blocked window needs two finite bounds")
-    first = F.floor((F.col(time) - F.lit(interval.high)) / F.lit(float(width))).cast("long") - 1
-    last = F.floor((F.col(time) - F.lit(interval.low)) / F.lit(float(width))).cast("long") + 1
+    # Sums of times and offsets are rounded, so some bits more count as within reach; a block more would cost a copy.
+    slack = (F.abs(F.col(time)) + F.lit(max(abs(interval.low), abs(interval.high)))) * F.lit(2.0**-49)
+    first = F.floor((F.col(time) - F.lit(interval.high) - slack) / F.lit(float(width))).cast("long")
+    last = F.floor((F.col(time) - F.lit(interval.low) + slack) / F.lit(float(width))).cast("long")
     return df.withColumn("_home", F.col(BLOCK)).withColumn(BLOCK, F.explode(F.array_union(F.sequence(first, last), F.array(F.col(BLOCK)))))
 
 
 def fold_kernel(df: DataFrame, keys: tuple[str, ...], time: str, column: str, out: str, kind: str, interval: Interval, width: float, metric: Metric) -> DataFrame:
     """Fold over windows of any kind, half-open ones of DOUBLE times too, block by block in numpy."""
-    folded = kernels.fold_kernel(_visits(df, time, interval, width), (*keys, BLOCK), time, column, out, kind, interval, metric)
-    return folded.filter(F.col(BLOCK) == F.col("_home")).drop("_home")
+    folded = kernels.fold_kernel(_visits(df, time, interval, width), (*keys, BLOCK), time, column, out, kind, interval, metric, F.col(BLOCK) == F.col("_home"))
+    return folded.drop("_home")
 
 
 def strict_until(df: DataFrame, keys: tuple[str, ...], time: str, left: str, right: str, out: str) -> DataFrame:
     """Textbook until of scalar columns."""
     ends = (f"{out}_lo", f"{out}_hi")
-    near = kernels.per_trace(df, (*keys, BLOCK), time, [left, right], list(ends), lambda t, a, b: (kernels.strict_until(a, b), kernels.strict_until(a, b, np.inf)), SCALAR)
-    heads = near.groupBy(*keys, BLOCK).agg(*(F.min_by(c, time).alias(c) for c in ends))
-
-    def after(blocks, lo, hi):
-        x, held = -math.inf, np.empty(len(lo))
-        for i in range(len(lo) - 1, -1, -1):
-            held[i] = x
-            x = max(lo[i], min(hi[i], x))
+    whole = (*keys, BLOCK)
+    near = kernels.per_trace(df, whole, time, [left, right], list(ends), lambda runs, t, a, b: kernels.strict_until(runs, a, b), SCALAR)
+    heads = near.groupBy(*whole).agg(*(F.min_by(c, time).alias(c) for c in ends))
+
+    def after(runs, blocks, lo, hi):
+        held = np.append(kernels.suffixes(runs, lo, hi)[0][1:], -math.inf)
+        held[runs[1:] - 1] = -math.inf
         return held
 
     beyond = kernels.per_trace(heads, keys, BLOCK, list(ends), "_beyond", after, SCALAR).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(BLOCK).alias("_k_block"), "_beyond")

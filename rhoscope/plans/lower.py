@@ -71,11 +71,13 @@ class Lowering:
 
     def pruned(self) -> DataFrame:
         """The traces without columns that no part of the formula can read: kernels send what is left to Python."""
-        wanted, todo = {*self.traces.keys, self.traces.time, self.traces.label, self.traces.states}, [self.root]
+        wanted, todo = {*self.traces.keys, self.traces.time, self.traces.states}, [self.root]
         while todo:
             f = todo.pop()
             if isinstance(f, (CustomExpression, CustomOperator)) or self.kept is None:
                 return self.traces.df
+            if isinstance(f, HybridPredicate):
+                wanted.add(self.traces.label)
             todo += f.children()
         return self.traces.df.select(*(f"`{c}`" for c in self.traces.df.columns if c in wanted or c in self.kept or c in variables_of(self.root)))
 
@@ -267,14 +269,14 @@ class Lowering:
         """What needs more than a window expression."""
         keys, time = self.traces.keys, self.traces.time
         if isinstance(f, TraceFunction):
-            self.df = kernels.per_trace(self.df, keys, time, [self.operand(f.operand)], name, f.function, self.metric)
+            self.df = kernels.per_trace(self.df, keys, time, [self.operand(f.operand)], name, kernels.one_by_one(f.function), self.metric)
         elif isinstance(f, Until):
             if self.metric is HYBRID:
                 raise TypeError("strict until is for the scalar metric")
             if self.block_width:
                 self.df = blocked.strict_until(self.df, keys, time, self.operand(f.left), self.operand(f.right), name)
             else:
-                self.df = kernels.per_trace(self.df, keys, time, [self.operand(f.left), self.operand(f.right)], name, lambda t, a, b: kernels.strict_until(a, b), self.metric)
+                self.df = kernels.per_trace(self.df, keys, time, [self.operand(f.left), self.operand(f.right)], name, lambda runs, t, a, b: kernels.strict_until(runs, a, b)[0], self.metric)
         elif not self.block_width:
             self.df = kernels.fold_kernel(self.df, keys, time, self.operand(f.operand), name, f.kind, self.interval(f.reach), self.metric)
         elif isinstance(f, Next):
