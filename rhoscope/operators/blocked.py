@@ -67,7 +67,11 @@ def strict_until(df: DataFrame, keys: tuple[str, ...], time: str, left: str, rig
     ends = (f"{out}_lo", f"{out}_hi")
     whole = (*keys, BLOCK)
     near = kernels.per_trace(df, whole, time, [left, right], list(ends), lambda runs, t, a, b: kernels.strict_until(runs, a, b), SCALAR)
-    heads = near.groupBy(*whole).agg(*(F.min_by(c, time).alias(c) for c in ends))
+    # A block's function is that of its first sample, from which on it is a plain until: no second run in Python.
+    proper = lambda c, empty: F.coalesce(F.nanvl(F.col(c), F.lit(empty)), F.lit(empty))
+    firsts = df.select(*whole, time, proper(left, math.inf).alias("_l"), proper(right, -math.inf).alias("_r"))
+    firsts = firsts.withColumn("_m", F.expr(f"least(_r, min(_l) OVER (PARTITION BY {_quoted(whole)} ORDER BY `{time}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"))
+    heads = firsts.groupBy(*whole).agg(F.max("_m").alias(ends[0]), F.greatest(F.max("_m"), F.min("_l")).alias(ends[1]))
 
     def after(runs, blocks, lo, hi):
         held = np.append(kernels.suffixes(runs, lo, hi)[0][1:], -math.inf)

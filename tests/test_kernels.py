@@ -8,7 +8,7 @@ import pytest
 
 from rhoscope.engine import monitor
 from rhoscope.operators import blocked, kernels
-from rhoscope.plans.dsl import always, eventually, var
+from rhoscope.plans.dsl import always, eventually, until, var
 from rhoscope.plans.formula import Interval, TraceFunction
 from rhoscope.sources.traces import TraceSet
 
@@ -85,3 +85,26 @@ def test_functions_of_a_trace_get_one_trace(spark, traces):
     assert rows(monitor(traces, TraceFunction("total", x <= 5.0, total))) == [(k, t, v) for k in sorted(want) for t, v in want[k]]
     with pytest.raises(Exception, match="was given"):
         monitor(traces, TraceFunction("short", x <= 5.0, lambda times, values: values[1:])).collect()
+
+
+def test_strict_until_of_many_traces_is_that_of_each():
+    pick = np.random.default_rng(9)
+    runs = np.r_[0, np.cumsum(pick.integers(1, 40, 30))]
+    left, right = (np.where(pick.random(runs[-1]) < 0.1, pick.choice([math.nan, math.inf, -math.inf], runs[-1]), pick.integers(0, 20, runs[-1])) for _ in range(2))
+    low, high = kernels.strict_until(runs, left, right)
+    for after, got in ((-math.inf, low), (math.inf, high)):
+        want = np.empty(runs[-1])
+        for a, b in zip(runs[:-1], runs[1:]):
+            x = after
+            for i in range(b - 1, a - 1, -1):
+                want[i] = x = np.fmin(left[i], np.fmax(right[i], x))
+        assert (got == want).all()
+
+
+def test_blocked_strict_until_folds_samples_in_python_once(spark, traces):
+    """Python gets the samples once, by trace and block, and then a row per block; no call is a block's own."""
+    f = until(x <= 5.0, x * -1.0 <= -3.0, strict=True)
+    df = monitor(traces, f, block_width=0.7)
+    whole = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in whole and sum(line.lstrip(" :+-").startswith("MapInArrow") for line in whole.splitlines()) == 2
+    assert rows(df) == rows(monitor(traces, f))
